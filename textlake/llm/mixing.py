@@ -41,7 +41,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of ``docs``.
+    """doc_id, source, text_hash, size, source_size, target, copies, taken for every row of ``docs``.
 
     A source that is to give c times its words first gives floor(c) whole copies of every document; the rest
     of its target is a Pareto order sample without replacement: documents rank by the odds of a uniform
@@ -49,11 +49,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     the rest are in. The uniform number is a hash of (seed, doc_id, text), so reruns and retried tasks agree.
 
     Null text or no word: size 0, taken 0. Null source: a source of its own, last. Repeated rows: each counts.
-    Empty table: no rows. A source with no words: target 0. Ties in rank: by doc_id, then size.
+    Empty table: no rows. A source with no words: target 0. Ties in rank: by doc_id, then text.
     Prefix sums run in range partitions, so a source that holds most rows is spread over many tasks.
     """
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    sized = materialize(drop_extra(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), u.alias("_u")))
+    sized = materialize(drop_extra(docs, "doc_id", "source", "text").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"), u.alias("_u")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sources, weights, share, cap)
     before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,11 +69,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     odds = F.col("_u") / (1 - F.col("_u"))
     inclusion = F.when((F.col("_p") > 0) & (F.col("_p") < 1), F.col("_p") / (1 - F.col("_p"))).otherwise(F.lit(1.0))
     ranked = joined.withColumn("_rank", odds / inclusion).drop("_u", "_p")
-    ranked = globally_sorted(ranked, [F.col("source").asc_nulls_last(), F.col("_rank"), F.col("doc_id"), F.col("size")])
+    ranked = globally_sorted(ranked, [F.col("source").asc_nulls_last(), F.col("_rank"), F.col("doc_id"), F.col("text_hash")])
     summed = with_sum_before(ranked, "size")
     earlier = F.col("_before") - F.col("_first")
     chosen = (2 * earlier + F.col("size")) <= 2 * F.col("_rest")
     copies = (F.col("_whole") + F.when(chosen & (F.col("size") > 0), 1).otherwise(0)).cast("long")
     return summed.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, all columns as they were.
+
+    Equal rows (doc_id, source and text) all get the rounded mean of their copies.
+    """
+    taken = mix(docs, weights, share, cap, seed).groupBy("doc_id", "source", "text_hash").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+    taken = materialize(taken.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text_hash", "_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("text_hash"))
+    rows = docs.join(taken, same)
+    return rows.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import language_id, line_quality, mixing, sharding, simhash_dedup, token_count, url_filter
+from textlake.llm import decontaminate, language_id, license_scan, line_quality, mixing, passage_dedup, sharding, simhash_dedup, token_count, url_filter
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -58,10 +58,28 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_docs(spark, sf_dir))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_docs(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(_docs(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -70,7 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_quality": op4_line_quality,
         "op5_language": op5_language,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_licenses": op7_licenses,
         "op8_shards": op8_shards,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_repeated_passages": op10_repeated_passages,
+        "pipeline": pipeline,
     }
 
 
