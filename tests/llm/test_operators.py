@@ -1,0 +1,452 @@
+"""The training-data operators against brute force, on small tables and on made-up hard cases."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from textlake.llm import components, decontaminate, language_id, license_scan, line_quality, mixing, ordering, passage_dedup, queries, sharding, simhash_dedup, token_count, url_filter
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, _pos long, fp long, words string"
+
+
+def table(spark, rows):
+    """documents with extra columns whose names operators use themselves."""
+    return spark.createDataFrame([(i, t, l, s, 0, 7, 7, 7, 7, "x") for i, t, l, s in rows], SCHEMA)
+
+
+def hard_rows():
+    rng = random.Random(5)
+    long_text = " ".join(rng.choice(["uno", "dos", "tres", "cuatro"]) + str(rng.randrange(50)) for _ in range(20000))
+    return [
+        (1, None, "en", "a"), (2, "", None, "a"), (3, "   \n\t ", "en", None), (4, "palabra", "es", "b"), (5, long_text, "es", "b"),
+        (6, "the same text " * 30, "en", "a"), (6, "the same text " * 30, "en", "a"), (7, "the same text " * 30, "de", "c"), (None, "sin id " * 60, "es", None), (8, "\U0001f600 \x1c é\u0301 " * 20, None, "\U0001f600"),
+    ]
+
+
+OPERATORS = {
+    "mix": lambda d: mixing.mix(d),
+    "mixed": lambda d: mixing.mixed(d),
+    "shard": lambda d: sharding.shard(d),
+    "tokens": lambda d: token_count.count_tokens(d, queries.tokenizer_path()),
+    "quality": lambda d: line_quality.judge(d, line_quality.Crf()),
+    "keep": lambda d: line_quality.keep(d, line_quality.Crf()),
+    "language": lambda d: language_id.identify(d, language_id.learn(d)),
+    "near": lambda d: simhash_dedup.near_duplicates(d),
+    "keep_one": lambda d: simhash_dedup.keep_one(d),
+    "licenses": lambda d: license_scan.scan(d),
+    "find": lambda d: decontaminate.find(d, d.select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(900)).alias("text"), "words")),
+    "passages": lambda d: passage_dedup.repeated_passages(d),
+}
+ONE_A_ROW = {"mix", "shard", "tokens", "quality", "language", "near"}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_hard_rows(spark, name):
+    rows = OPERATORS[name](table(spark, hard_rows())).collect()
+    if name in ONE_A_ROW:
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in hard_rows())
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, name):
+    assert OPERATORS[name](table(spark, []).where("doc_id = 0")).count() == 0
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# ---- mixing
+
+
+def brute_targets(size, weights=(3, 1, 2), share=1.5, cap=2.0):
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, out = share * sum(size.values()), set(order), {}
+    while open_:
+        total = sum(w[s] for s in open_)
+        over = [s for s in open_ if left * w[s] / total > cap * size[s]]
+        if not over:
+            return out | {s: left * w[s] / total for s in open_}
+        for s in over:
+            out[s] = cap * size[s]
+        left, open_ = left - sum(cap * size[s] for s in over), open_ - set(over)
+    return out
+
+
+def test_mix(spark):
+    docs = documents(spark).select("doc_id", "text", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.concat(F.lit("s"), F.col("doc_id") % 4)).alias("source"))
+    rows = mixing.mix(docs).collect()
+    assert rows and sorted(rows) == sorted(mixing.mix(docs.repartition(7)).collect())
+    size = Counter()
+    for r in docs.collect():
+        size[r.source] += len(WORD.findall(r.text or ""))
+    want = brute_targets(dict(size))
+    taken = Counter()
+    for r in rows:
+        assert r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[r.source] += r.taken
+    largest = max(r.size for r in rows)
+    assert all(abs(taken[s] - want[s]) <= largest / 2 + 1 for s in want)
+    # within a source, sampled documents are those of least rank: the order is that of the uniform numbers
+    copies = {r.doc_id: r.copies for r in rows}
+    assert mixing.mixed(docs).count() == sum(copies.values())
+
+
+def test_running_sums(spark):
+    d = spark.range(1000).select((F.col("id") * 37 % 101).alias("k"), "id")
+    s = ordering.with_sum_before(ordering.globally_sorted(d, [F.col("k"), F.col("id")]), "id").collect()
+    p = ordering.with_position(ordering.globally_sorted(d, [F.col("k"), F.col("id")])).collect()
+    total, order = 0, sorted((i * 37 % 101, i) for i in range(1000))
+    before = {(r.k, r.id): r._before for r in s}
+    place = {(r.k, r.id): r._pos for r in p}
+    for n, x in enumerate(order):
+        assert before[x] == total and place[x] == n
+        total += x[1]
+
+
+# ---- URL rules
+
+
+def test_url_filter(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").unionByName(
+        spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "http://WWW.Example.COM/en/x"), (-4, "http://example.com"), (-5, "a://b.example.com/en?x"), (-6, "http://notexample.com/en/"), (-7, "http://com/"), (-8, "x://a.net/es/y#z")], "page_id long, url string")
+    )
+    got = {r.page_id: r for r in url_filter.judge(pages, queries.URL_RULES).collect()}
+    for p in pages.collect():
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", p.url or "")
+        host, path = (m[1], m[2]) if m else ("", "")
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for r in queries.URL_RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        best = max(fits, key=lambda r: (r[0].count("."), len(r[1])), default=None)
+        r = got[p.page_id]
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best[0] + best[1], best[2] if best else "allow")
+
+
+def test_tries_in_blocks_agree(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    whole = sorted(url_filter.judge(pages, queries.URL_RULES).collect())
+    monkeypatch.setattr(url_filter, "RULES_A_TRIE", 2)
+    assert sorted(url_filter.judge(pages, queries.URL_RULES).collect()) == whole
+
+
+def test_trie_partial_segment():
+    trie = url_filter.build_trie([("a.b", "/x/ab", "block"), ("a.b", "", "allow"), ("b", "/", "allow")])
+    assert url_filter.longest_match(trie, "c.a.b", "/x/abc")[1] == "block"
+    assert url_filter.longest_match(trie, "a.b", "/x/a")[0] == "a.b"
+    assert url_filter.longest_match(trie, "b", "") is None
+
+
+# ---- tokens
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    texts = [r.text for r in documents(spark).collect()] + [r[1] or "" for r in hard_rows()]
+    texts += ["don't I'll 'sabc ,'s", "x<|endoftext|>y <|ENDOFTEXT|><|startoftext|>", "ΟΔΟΣ Σ İ ﬁ", "a\x1cb\x85c\u3000d", "日本語 12345 ☃️👍🏽", "th" * 400 + "!" * 99]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("aeinorst'hABC 12.,!\n\u00e9ß") for _ in range(300)) for _ in range(100)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    counter = token_count.Counter(path)
+    assert [counter.count(t) for t in texts] == want
+
+
+def test_chunk_maps_compose(monkeypatch):
+    counter = token_count.Counter(queries.tokenizer_path())
+    text = "una frase  con\npalabras, que's cortas y larguísimas " * 40
+    want = counter.count(text)
+    for size in (1, 2, 3, 7, 64, 1000):
+        monkeypatch.setattr(token_count, "CHUNK", size)
+        assert counter.count(text) == want
+
+
+# ---- quality
+
+
+def test_line_quality_base(spark):
+    docs = documents(spark)
+    crf = line_quality.fit_on(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r for r in line_quality.judge(docs, crf).collect()}
+    for d in docs.collect():
+        words = WORD.findall(d.text)
+        grams = Counter(zip(words, words[1:], words[2:]))
+        covered = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        seen, copied = set(), 0
+        for line in d.text.split("\n"):
+            if WORD.search(line):
+                copied += line in seen
+                seen.add(line)
+        r = got[d.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), sum(d.text.count(c) for c in "#*$%&|<>"))
+        assert (r.n_dup_lines, r.n_repeat_words) == (copied, len(covered))
+        assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and not (r.base_failed and r.kept)
+    assert sorted(r.doc_id for r in line_quality.keep(docs, crf).collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x = [tuple(rng.normal(size=7)) for _ in range(6)]
+        crf = line_quality.Crf(tuple(rng.normal(size=7)), tuple(map(tuple, rng.normal(size=(2, 2)))), tuple(rng.normal(size=2)))
+
+        def score(path):
+            s = crf.first[path[0]] + sum(np.dot(crf.weights, f) for f, y in zip(x, path) if y)
+            return s + sum(crf.pairs[a][b] for a, b in zip(path, path[1:]))
+
+        paths = [[(k >> i) & 1 for i in range(6)] for k in range(64)]
+        assert abs(score(line_quality.viterbi(crf, x)) - max(map(score, paths))) < 1e-9
+
+
+def test_quality_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    crf = line_quality.fit_on(docs, labels, 200)
+    rows = line_quality.judge(docs, crf).join(labels, "doc_id").where("NOT base_failed").collect()
+    good = [r for r in rows if r.quality == 1]
+    bad = [r for r in rows if r.quality == 0]
+    assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) <= 0.4 * len(bad)
+
+
+# ---- language
+
+
+def test_language_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify(docs, language_id.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_undetermined():
+    c = language_id.Classifier({"en": b"the cat and the dog " * 50, "es": "el gato y la niña ".encode() * 50})
+    assert c.predict(None, 0.01)[0] == c.predict("123 --", 0.01)[0] == "und"
+    assert c.predict("the dog and the cat and the dog", 0.01)[0] == "en" and c.predict("la niña y el gato y la niña", 0.01)[0] == "es"
+
+
+# ---- near duplicates
+
+
+def brute_fingerprint(text):
+    words = [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())]
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    order = sorted(nodes)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_near_duplicates(spark):
+    docs = documents(spark).select("doc_id", "text").collect()
+    long = next(d.text for d in docs if len(d.text) > 5000).split(" ")
+    extra = [(1000 + i, " ".join([*long[: 50 * i], "cambio", *long[50 * i + 1 :]])) for i in range(6)] + [(2000, None), (2001, ""), (2002, "A B"), (2003, "a b")]
+    all_docs = [(d.doc_id, d.text) for d in docs] + extra
+    got = {r.doc_id: r for r in simhash_dedup.near_duplicates(spark.createDataFrame(all_docs, "doc_id long, text string")).collect()}
+    fp = {i: brute_fingerprint(t) for i, t in all_docs}
+    want = brute_components(fp, lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == fp
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert len(set(want.values())) < len({*fp.values()})  # some links are between different fingerprints
+
+
+def test_every_close_pair_shares_an_anchor(spark):
+    rng = random.Random(9)
+    fps = {rng.getrandbits(64) for _ in range(30)} | {0, (1 << 64) - 1}
+    for f in list(fps)[:20]:
+        for _ in range(12):
+            fps.add(f ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 4))}))
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    star = components.connected(simhash_dedup.links(rows)).collect()
+    got = {r.fp: r.fp for r in rows.collect()} | {r.u: r.v for r in star}
+    assert got == brute_components(got, lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(7, 7)]
+    got = {r.u: r.v for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    links = {frozenset(e) for e in edges}
+    nodes = {n for e in edges for n in e}
+    assert {n: got.get(n, n) for n in nodes} == brute_components(nodes, lambda a, b: frozenset((a, b)) in links)
+
+
+# ---- licenses
+
+
+def test_patience():
+    template = license_scan.words_of(license_scan.TEMPLATES["GPL-3.0"])
+    text = license_scan.words_of("The the. This work is indeed licensed under the GNU General Public License, version 3 of the")
+    pairs = license_scan.patience(text, template)
+    assert [t for _, t in pairs] == list(range(len(template)))
+    assert all(text[a] == template[b] for a, b in pairs) and pairs == sorted(pairs)
+    assert license_scan.patience("a b c".split(), "c b a".split())
+
+
+def test_licenses(spark):
+    docs = table(spark, [(1, "x " * 500 + "Released under\nthe MIT License. " + "y " * 300 + "Released under the MIT license", "en", "a"), (2, "the work is a license of the public under", "en", "a"), (3, "Licensed under CC BY-NC 4.0.", "en", "a")])
+    got = {(r.doc_id, r.license): r for r in license_scan.scan(docs).collect()}
+    assert set(got) == {(1, "MIT"), (3, "CC-BY-NC-4.0")}
+    assert got[1, "MIT"].first_word == 500 and got[1, "MIT"].places == 2 and got[3, "CC-BY-NC-4.0"].coverage == 1.0
+
+
+def test_licenses_whole_table(spark):
+    found = {(r.doc_id, r.license) for r in license_scan.scan(documents(spark)).collect()}
+    for d in documents(spark).collect():
+        for name, template in license_scan.TEMPLATES.items():
+            if template in d.text:
+                assert (d.doc_id, name) in found
+
+
+# ---- sharding
+
+
+def test_hilbert_is_a_walk():
+    bits = 3
+    axes = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
+    index = sharding.hilbert_index(axes, bits)
+    assert sorted(index.tolist()) == list(range(512))
+    path = axes[np.argsort(index)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_shards(spark):
+    docs = documents(spark)
+    rows = sharding.shard(docs).collect()
+    text = {d.doc_id: d.text for d in docs.collect()}
+    counts = Counter(r.shard for r in rows)
+    assert max(counts.values()) - min(counts.get(s, 0) for s in range(24)) <= 1 and set(counts) <= set(range(24))
+    for s, n in counts.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    assert all(r.size == len(text[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r.grown_shard is None for r in rows)
+    ordered = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in ordered] == sorted(r.curve for r in rows)
+    assert sorted(rows, key=str) == sorted(sharding.shard(docs.repartition(5)).collect(), key=str)
+
+
+# ---- decontamination
+
+
+def brute_leaks(docs, items, least=0.8):
+    out = {}
+    grams = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else Counter([tuple(ws)])
+    for i, text in items:
+        item = WORD.findall(text.lower())
+        want = grams(item)
+        for d, t in docs:
+            ws = WORD.findall((t or "").lower())
+            best = 0.0
+            for s in range(max(1, len(ws) - len(item) + 1)):
+                window = ws[s : s + len(item)]
+                if window and len(set(window) & set(item)) * 2 >= len(set(item)):
+                    have = grams(window)
+                    best = max(best, sum((have & want).values()) / sum((have | want).values()))
+            if best >= least:
+                out[d, i] = round(best, 6)
+    return out
+
+
+def test_decontaminate(spark):
+    rng = random.Random(4)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:12] + [(900, "dos palabras"), (901, "")]
+    docs = [(d.doc_id, d.text) for d in documents(spark).select("doc_id", "text").limit(40).collect()]
+    for n, (_, text) in enumerate(items[:8]):
+        ws = WORD.findall(text)
+        cut = [*ws[: len(ws) // 2], *(["nueva"] if n % 2 else []), *ws[len(ws) // 2 :]]
+        docs.append((5000 + n, "algo " * rng.randrange(9) + "\n".join(cut) + " fin " * n))
+        docs.append((6000 + n, " ".join(ws[2:]).upper() + " x y"))
+    docs += [(7000, "aquí dos palabras más"), (7001, None), (7002, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == pytest.approx(brute_leaks(docs, items)) and (7000, 900) in got
+    left = decontaminate.clean(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in got}
+
+
+def test_leaks_of_the_table(spark):
+    docs, items = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()}
+    squeeze = lambda t: " ".join(WORD.findall(t.lower()))
+    texts, wanted = {d.doc_id: squeeze(d.text) for d in docs.collect()}, {i.item_id: squeeze(i.text) for i in items.collect()}
+    assert {(d, i) for d, t in texts.items() for i, w in wanted.items() if f" {w} " in f" {t} "} <= found
+
+
+# ---- passages
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+
+
+def test_planted_passages(spark):
+    rng = random.Random(8)
+    passage, common = words(rng, 52), words(rng, 12)
+    docs = [(i, words(rng, 80) + "\n" + common + "\n" + words(rng, 40)) for i in range(40)]
+    docs += [(100 + i, words(rng, 30 + i) + " " + passage + " " + words(rng, 45)) for i in range(5)]
+    line = words(rng, 60).split(" ")
+    docs += [(200, words(rng, 9) + "\n" + " ".join(line)), (201, " ".join([*line[:1], "otra", *line[2:]]) + "\n" + words(rng, 30))]
+    docs += [(300, passage.upper() if False else words(rng, 26)), (301, None), (302, "")]
+    got = {r.doc_id: r for r in passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == {100, 101, 102, 103, 104, 200, 201}
+    assert got[100].n_removed == 0 and all(got[i].n_removed > 0 for i in (101, 102, 103, 104, 201)) and got[200].n_removed == 0
+
+
+def test_line_links_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(9999)}" for _ in range(40)] for _ in range(15)]
+    texts = []
+    for b in base:
+        for _ in range(6):
+            c = list(b)
+            for _ in range(rng.randrange(3)):
+                c[rng.randrange(2)] = f"v{rng.randrange(9999)}"
+            texts.append(" ".join(c))
+    rows = []
+    for t in set(texts):
+        for s, n, h, grams in zip(*passage_dedup.paragraphs(t)):
+            if grams is not None:
+                rows.append((h, grams.tolist()))
+    lines = spark.createDataFrame(rows, "h long, s array<int>")
+    sets = dict(rows)
+    want = brute_components(sets, lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])))
+    for together in (256, 3):  # 3: nearly all buckets are divided, and divided again in blocks
+        monkeypatch.setattr(passage_dedup, "TOGETHER", together)
+        star = {r.u: r.v for r in components.connected(passage_dedup.line_links(lines, 0.8)).collect()}
+        assert {h: star.get(h, h) for h in sets} == want
+
+
+def test_content_places_are_shared():
+    rng = random.Random(3)
+    for _ in range(50):
+        p = words(rng, 51)
+        a, b = (passage_dedup.paragraphs(words(rng, rng.randrange(60)) + " " + p + " " + words(rng, rng.randrange(60))) for _ in range(2))
+        assert set(a[2]) & set(b[2])

@@ -96,5 +96,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+_FITS = "FROM rules r WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) ORDER BY length(r.host) DESC, length(r.path) DESC LIMIT 1"
+
+OP2_SQL = f"""
+WITH rules(host, path, verdict) AS (VALUES {_RULES}),
+p AS (
+    SELECT page_id,
+           coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+)
+SELECT page_id, host, path,
+       (SELECT r.host || r.path {_FITS}) AS rule,
+       coalesce((SELECT r.verdict {_FITS}), 'allow') AS verdict
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the method; the other queries are held against brute force in tests/llm."""
+    return {"op2_url_filter": OP2_SQL}
