@@ -185,8 +185,8 @@ def line_links(lines: DataFrame, similarity: float) -> DataFrame:
     several = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"))
     members = materialize(_counted(keyed.join(several, F.col("key") == F.col("_key")).drop("_key").distinct()))
     wanted = members.select(F.col("h").alias("_h")).distinct()
-    # copies of a line have equal sets: any one serves
-    sets = materialize(lines.select("h", "s").join(wanted, F.col("h") == F.col("_h"), "left_semi").groupBy("h").agg(F.first("s").alias("s")))
+    # copies of a line have equal sets: any one serves, and each task sends one of a line, however many it has
+    sets = materialize(lines.groupBy("h").agg(F.first("s").alias("s")).join(wanted, F.col("h") == F.col("_h"), "left_semi"))
     sets = sets.withColumnRenamed("h", "_h")
     full = lambda m: m.join(sets, F.col("h") == F.col("_h")).drop("_h")
     out = _verify(full(members.where(F.col("c") <= TOGETHER)).drop("c"), similarity)
@@ -231,8 +231,10 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     found = materialize(d.mapInArrow(read, f"doc_id {kind}, start int, n int, h long, s array<int>"))
     star = connected(line_links(found.where("s IS NOT NULL"), similarity))
     star = star.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    rows = found.select("doc_id", "start", "n", "h").join(star, F.col("h") == F.col("_u"), "left")
-    rows = rows.select("doc_id", "start", "n", F.coalesce("_v", "h").alias("cluster"))
+    # only lines have links between different hashes: windows are their clusters and need no join
+    place = ["doc_id", "start", "n"]
+    lines = found.where("s IS NOT NULL").select(*place, "h").join(star, F.col("h") == F.col("_u"), "left").select(*place, F.coalesce("_v", "h").alias("cluster"))
+    rows = found.where("s IS NULL").select(*place, F.col("h").alias("cluster")).unionByName(lines)
     # nulls last: a null id never is the document that stays unless all are null
     ends = rows.groupBy("cluster").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
     ends = ends.where("first <> last OR (nameless AND first IS NOT NULL)").select(F.col("cluster").alias("_cluster"), "first")
