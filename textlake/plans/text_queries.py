@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.functions import vector as V
-from textlake.operators import authors, clean, profile, reader, rules, search, segment
+from textlake.operators import authors, clean, profile, reader, rules, search, segment, settings
 from textlake.plans.registry import query
 from textlake.sources import files, sinks
 from textlake.streaming import incremental
@@ -46,6 +46,33 @@ def name_keys(t):
     return t("supplier").select("s_suppkey", T.name_key(F.col("s_name")).alias("name_key"))
 
 
+@query("STR-05 STR-06 STR-07", "SELECT s_suppkey, 'Juan de la Peña' AS name FROM supplier")
+def clean_person_names(t):
+    return t("supplier").select("s_suppkey", T.clean_name(F.lit("  JUAN  DE LA peña, ")).alias("name"))
+
+
+@query("STR-10", "SELECT page_id, left(trim(regexp_replace(regexp_replace(url, '[<>|:*?\"\\\\/\\n\\r]', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 200) AS author FROM pages")
+def author_overrides(t):
+    return t("pages").select("page_id", T.author_override(F.col("url")).alias("author"))
+
+
+@query("STR-03 STR-04", "SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM benchmark WHERE regexp_matches(text, '^[ -~]*$') AND NOT regexp_matches(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '(^| )[a-z]{1,3} [a-z]{1,3}( |$)')")
+def structural_keys(t):
+    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " "), " +", " "))
+    d = t("benchmark").where(F.col("text").rlike("^[ -~]*$") & ~norm.rlike("(^| )[a-z]{1,3} [a-z]{1,3}( |$)"))
+    return d.select("item_id", clean.structural_key(F.col("text")).alias("norm"))
+
+
+@query("MAP-02 UDF-01 UDF-03 UDF-04 SRC-37")
+def profile_segments(t):
+    return settings.segments(t("documents"), "doc_id", "text", settings.profile("prosa", titles={"least_score": 2.5}))
+
+
+@query("SRC-38 SRC-40 SRC-41", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def stored_documents(t):
+    return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("STR-08", "SELECT doc_id, '...' || replace(substr(text, 51, 110), chr(10), ' ') || '...' AS context FROM documents WHERE length(text) > 400")
 def text_context(t):
     return t("documents").where("length(text) > 400").select("doc_id", T.context(F.col("text"), F.lit(100), F.lit(10)).alias("context"))
