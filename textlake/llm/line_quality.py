@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.runtime import drop_extra
+from textlake.llm.runtime import drop_extra, ship
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -189,6 +189,7 @@ def judge(docs: DataFrame, crf: Crf, least_share: float = 0.5, least_words: int
 
 def keep(docs: DataFrame, crf: Crf, least_share: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they were, in one pass without a join."""
+    ship(docs.sparkSession)
     position = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

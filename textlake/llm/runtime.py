@@ -7,12 +7,16 @@ laptop) a folder of this process is used.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,4 +39,21 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def drop_extra(df: DataFrame, *needed: str) -> DataFrame:
     """Only the columns an operator reads, so extra columns of any name can't clash with its own."""
+    ship(df.sparkSession)
     return df.select(*[df[c] for c in needed])
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless their Python finds it on the path that they share with the
+    driver. Sent once a Spark application."""
+    package = Path(__file__).resolve().parent.parent
+    root = str(package.parent)
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path(os.getcwd(), package.name).resolve() == package or context.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="textlake-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
