@@ -69,7 +69,7 @@ def prose(docs: DataFrame, key: str, text: str, size: int = 300) -> DataFrame:
     d = d.withColumn("_rest", F.when(F.col("_title") != "", T.strip(F.expr("substring(_flat, length(_title) + 1)"))).otherwise(F.col("_flat")))
     d = d.withColumn("_sentences", sentences(F.col("_rest")))
     packed = F.concat(F.when(F.col("_title") != "", F.array("_title")).otherwise(F.array().cast("array<string>")), pack(F.col("_sentences"), size))
-    return d.where("length(_flat) >= 10").select(key, F.posexplode(packed).alias("pos", "segment"))
+    return d.where("length(_flat) >= 10").select(key, F.posexplode_outer(packed).alias("pos", "segment")).where("segment IS NOT NULL")
 
 
 def fused(c: Column) -> Column:
@@ -156,7 +156,8 @@ def heading_segments(docs: DataFrame, key: str, text: str, least_score: float =
     b = b.withColumn("kind", F.when(title, F.concat(F.lit("title_level_"), F.col("level"))).otherwise("paragraph"))
     b = b.withColumn("_sentences", sentences(F.col("line")))
     parts = F.when(~title & (F.length("line") > longest), pack(F.col("_sentences"), 300, None)).otherwise(F.array("line"))
-    b = b.select(key, "pos", "kind", F.posexplode(parts).alias("part", "segment"))
+    # outer: an inner generator's implied filter would pack every line a second time
+    b = b.select(key, "pos", "kind", F.posexplode_outer(parts).alias("part", "segment"))
     b = b.withColumn("kind", F.when((F.col("kind") == "paragraph") & (F.max("part").over(Window.partitionBy(key, "pos")) > 0), "paragraph_split").otherwise(F.col("kind")))
     order = F.row_number().over(Window.partitionBy(key).orderBy("pos", "part"))
     return b.withColumn("segment_order", order).select(key, "segment_order", "kind", "segment")
