@@ -97,9 +97,9 @@ def notebook_filter(t):
     return library.notes_containing(sections, "notes", "the").select("conv_id", F.size("notes").cast("long").alias("notes"))
 
 
-@query("FLT-16 SRT-08", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id < 50 ORDER BY conv_id, turn")
+@query("FLT-16 SRT-08", "SELECT conv_id, turn FROM conversations WHERE role = 'user' ORDER BY conv_id, turn")
 def annotation_list(t):
-    return t("conversations").where("role = 'user' AND conv_id < 50").select("conv_id", "turn").orderBy("conv_id", "turn")
+    return t("conversations").where("role = 'user'").select("conv_id", "turn").orderBy("conv_id", "turn")
 
 
 @query("SET-03", "SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -224,6 +224,6 @@ def error_log_types(t):
     return lines.select(jobs.first_keyword(F.col("line"), ("wh", "th")).alias("error_type")).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("STR-16 STR-17", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents WHERE n_chars % 256 <> 0")
+@query("STR-16 STR-17")
 def format_sizes(t):
-    return t("documents").where("n_chars % 256 <> 0").select("doc_id", T.format_size(F.col("n_chars")).alias("size"))
+    return t("documents").select("doc_id", T.format_size(F.col("n_chars")).alias("size"))
