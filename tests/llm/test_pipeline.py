@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from textlake.llm import line_quality
 
-from test_operators import SF, brute_components, brute_fingerprint, brute_leaks, brute_targets, WORD
+from test_training_operators import SF, brute_components, brute_fingerprint, brute_leaks, brute_targets, WORD
 
 
 def test_pipeline(spark):
