@@ -16,7 +16,7 @@ STOP_WORDS = ("del", "de", "la", "el", "los", "las", "un", "una", "y", "o", "a",
 
 def strip(c: Column) -> Column:
     """White space off both ends (Spark's trim takes blanks only)."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\f\x0B"))
 
 
 def squeeze(c: Column) -> Column:

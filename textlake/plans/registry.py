@@ -17,13 +17,27 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
+#: Tables of long texts, whose rows cost far more to work on than to move.
+TEXTS = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer scan partitions than there are cores, dealt over all cores; larger tables as they are, so no
+    text is shuffled where the scan is parallel already."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
 def query(covers: str, sql: str | None = None):
     """Registers ``f(t)``, where ``t(name)`` reads a table, under the function's name."""
 
     def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            def table(name: str) -> DataFrame:
+                df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                return spread(df) if name in TEXTS else df
+
+            return f(table)
 
         QUERIES[f.__name__] = Query(run, covers, sql)
         return f
