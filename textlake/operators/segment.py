@@ -187,7 +187,8 @@ def section_tree(headings: DataFrame, doc: str, pos: str, level: str) -> DataFra
 def is_section_title(c: Column) -> Column:
     t = T.strip(c)
     named = (F.length(t) < 100) & ~t.endswith(".") & F.lower(t).rlike(SECTION_WORDS)
-    dated = t.rlike(rf"(?i)[A-Z\s]+\.\s+(?:{WEEKDAYS})") | t.rlike(rf"(?i)[A-Z\s]+\s+\d{{1,2}}\s+(?:{MONTHS})")
+    # one letter or blank before the date is all that a search needs; a run of them would be read from each of its places
+    dated = t.rlike(rf"(?i)[A-Z\s]\.\s+(?:{WEEKDAYS})") | t.rlike(rf"(?i)[A-Z\s]\s\d{{1,2}}\s+(?:{MONTHS})")
     return t.rlike(r"^#{1,6}\s+") | t.rlike(r"^\*\*[^*]+\*\*$") | (T.is_upper(t) & (F.length(t) > 5)) | named | dated
 
 
@@ -195,16 +196,24 @@ def _spoken(t: Column) -> Column:
     return t.rlike(r"^[A-Z][^.]*[?!]$") | t.rlike(r"^¿.*\?$") | t.rlike(r"^¡.*!$")
 
 
-def merges(a: Column, b: Column, gap: Column | None = None, largest: float = 10.0, least: int = 20) -> Column:
-    """Whether block ``b`` belongs to block ``a``: no titles, no change between narration and speech, close."""
-    a, b = T.strip(a), T.strip(b)
+def merge_traits(c: Column, least: int = 20) -> Column:
+    """What the merge rules ask of a block, as a struct of flags: told once a block, not once a pair."""
+    t = T.strip(c)
+    first = F.lower(F.regexp_extract(t, r"^(\S+)", 1))
+    flags = {
+        "empty": t == "", "section": is_section_title(t), "dash": t.startswith("—"), "spoken": _spoken(t), "full_stop": t.endswith("."),
+        "alone": t.rlike("[?!]$") & (F.length(t) < 50), "goes_on": (F.length(t) >= least) & ~t.rlike(r"^\p{Lu}") & first.isin(*CONTINUES),
+    }
+    return F.when(c.isNotNull(), F.struct(*[f.alias(name) for name, f in flags.items()]))
+
+
+def merges(a: Column, b: Column, gap: Column | None = None, largest: float = 10.0) -> Column:
+    """Whether the block of traits ``b`` belongs to that of ``a``: no titles, no change between narration and
+    speech, close."""
     gap = F.lit(5.0) if gap is None else F.coalesce(gap, F.lit(5.0))
-    dash = lambda t: t.startswith("—")
-    alone = lambda t: t.rlike("[?!]$") & (F.length(t) < 50)
-    barred = (a == "") | (b == "") | is_section_title(a) | is_section_title(b) | (dash(a) != dash(b)) | (_spoken(a) != _spoken(b)) | (gap > largest)
-    goes_on = ~a.endswith(".") & (F.length(b) >= least) & ~b.rlike(r"^\p{Lu}") & F.lower(F.regexp_extract(b, r"^(\S+)", 1)).isin(*CONTINUES)
-    plain = ~dash(a) & ~dash(b) & ~alone(a) & ~alone(b) & (gap <= 5.0)
-    return ~barred & (goes_on | plain)
+    barred = a["empty"] | b["empty"] | a["section"] | b["section"] | (a["dash"] != b["dash"]) | (a["spoken"] != b["spoken"]) | (gap > largest)
+    plain = ~a["dash"] & ~b["dash"] & ~a["alone"] & ~b["alone"] & (gap <= 5.0)
+    return ~barred & ((~a["full_stop"] & b["goes_on"]) | plain)
 
 
 def valid_block(c: Column) -> Column:
@@ -215,8 +224,8 @@ def valid_block(c: Column) -> Column:
 def merged_blocks(b: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
     """Runs of neighbouring blocks that belong together, joined with blanks: lag, running sum, group."""
     w = Window.partitionBy(doc).orderBy(pos)
-    b = b.where(valid_block(F.col(text))).withColumn("_last", F.lag(text).over(w))
-    b = b.withColumn("_new", F.when(F.col("_last").isNull() | ~merges(F.col("_last"), F.col(text)), 1).otherwise(0))
+    b = b.where(valid_block(F.col(text))).withColumn("_traits", merge_traits(F.col(text))).withColumn("_last", F.lag("_traits").over(w))
+    b = b.withColumn("_new", F.when(F.col("_last").isNull() | ~merges(F.col("_last"), F.col("_traits")), 1).otherwise(0))
     b = b.withColumn("run", F.sum("_new").over(w))
     g = b.groupBy(doc, "run").agg(F.sort_array(F.collect_list(F.struct(pos, T.strip(F.col(text)).alias("t")))).alias("_s"))
     return g.select(doc, F.col("run").alias("segment_order"), F.array_join(F.col("_s.t"), " ").alias("segment"), F.size("_s").alias("merged"))
@@ -265,7 +274,8 @@ def title_block(c: Column, marked: Column | None = None) -> Column:
     no = F.lit(False)
     for p in VERSE_MARKS:
         no = no | t.rlike("(?iu)" + p)
-    return (t != "") & F.when(yes, True).when(no, False).otherwise(poem_title(c))
+    # no title shape is over 80 characters: the rejecting patterns need not read longer blocks
+    return (t != "") & F.when(yes, True).when((F.length(t) > 80) | no, False).otherwise(poem_title(c))
 
 
 def is_verse(c: Column, longest: int = 120) -> Column:
