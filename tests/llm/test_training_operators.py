@@ -392,6 +392,20 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_leaks_of_long_items(spark):
+    """Items of which a similar window may start over ten words off the place where a shared shingle aligns."""
+    rng = random.Random(11)
+    items = [(i, words(rng, 120 + 30 * i)) for i in range(4)]
+    docs = []
+    for i, text in items:
+        ws = text.split()
+        for edit in (4, 8, 12, 16):
+            docs.append((100 * i + edit, " ".join([*words(rng, edit).split(), *ws[:9], *words(rng, edit).split(), *ws[9:], *words(rng, 3).split()])))
+            docs.append((100 * i + edit + 1, " ".join([*words(rng, edit).split(), *ws[:9], *ws[9 + edit :], *words(rng, 20).split()])))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == pytest.approx(brute_leaks(docs, items)) and len(got) > 16
+
+
 def test_leaks_of_the_table(spark):
     docs, items = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     found = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()}

@@ -14,9 +14,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 #: Fingerprints up to RADIUS bits apart are candidates: RADIUS + 1 blocks, of which one at least is equal.
 RADIUS = 19
-#: Words by which a window may lie off the place where a shingle that it shares aligns with the item. A window
-#: further off has lost or gained more words before its first shared shingle than this.
-SLACK = 8
 #: A benchmark with more shingles than this is joined by a shuffle instead of a broadcast.
 BROADCAST_SHINGLES = 500_000
 
@@ -103,7 +100,8 @@ def find(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: fl
     b = with_words(drop_extra(benchmark, "item_id", "text"), "item").select("item_id", "item", F.size("item").alias("n")).where("n > 0")
     b = with_simhash(b, "item", "item_fp")
     g = F.greatest(F.col("n") - (shingle - 1), F.lit(1))
-    slack = F.least((g - F.ceil(F.lit(2 * similarity / (1 + similarity)) * g - 1e-9)).cast("int"), F.lit(SLACK))
+    # each word that a window has too many or too few before a shared shingle costs it one shingle at least
+    slack = (g - F.ceil(F.lit(2 * similarity / (1 + similarity)) * g - 1e-9)).cast("int")
     b = materialize(b.select("item_id", "n", slack.alias("slack"), F.least("n", F.lit(shingle)).alias("k"), "item_fp", _shingles(F.col("item"), F.col("n"), shingle).alias("item_shingles"), "item"))
     lengths = [r.n for r in b.select("n").distinct().collect()]  # as many as there are lengths of items
     total = b.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()[0]
