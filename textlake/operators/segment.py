@@ -304,6 +304,9 @@ def poems(b: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
     t = F.col(text)
     flags = b.select(doc, pos, T.strip(t).alias("t"), title_block(t).alias("title"), ((F.length(T.strip(t)) > 300) & (T.word_count(t) > 40)).alias("bulky"), (T.is_upper(T.strip(t)) | t.rlike(rf"^\s*(?:{ROMAN}|\d+)\.?\s*$")).alias("main"), is_verse(t).alias("verse"))
 
+    # what stands before a document's first title leaves no trace, so neither it nor untitled documents go to Python
+    flags = flags.withColumn("_titled", F.max("title").over(Window.partitionBy(doc).orderBy(pos))).where("_titled").drop("_titled")
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         out, held, title, blank = [], [], None, 0
 
