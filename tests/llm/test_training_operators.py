@@ -464,3 +464,15 @@ def test_content_places_are_shared():
         p = words(rng, 51)
         a, b = (passage_dedup.paragraphs(words(rng, rng.randrange(60)) + " " + p + " " + words(rng, rng.randrange(60))) for _ in range(2))
         assert set(a[2]) & set(b[2])
+
+
+def test_near_copies_inside_longer_lines(spark):
+    """Passages at 0.8 Jaccard, 45 own words on each side: 60 words with one changed, 100 words with two."""
+    rng = random.Random(12)
+    docs, pairs = [], [(60, (30,)), (60, (20,)), (100, (33, 66))] * 20
+    for i, (n, changed) in enumerate(pairs):
+        passage = words(rng, n).split(" ")
+        other = ["otra" if k in changed else w for k, w in enumerate(passage)]
+        docs += [(2 * i + j, " ".join([words(rng, 45), *p, words(rng, 45)])) for j, p in enumerate((passage, other))]
+    got = {r.doc_id: r.n_removed for r in passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(2 * len(pairs))) and all((got[i] > 0) == (i % 2 == 1) for i in got)

@@ -1,9 +1,12 @@
 """Repeated passages: paragraph MinHash banding, exact verification, removal by components.
 
 Paragraphs are the lines of a text, and, as passages also stand inside longer lines, windows of PARAGRAPH
-words that begin at content-chosen places. The places are the minima of a hash over every run of as many
+words that begin at content-chosen places. The places are the minima of a hash over every run of RUN
 neighbouring starts, so that two texts choose the same places inside a passage that they share: of any
-verbatim passage of 2 * PARAGRAPH - 1 = 51 words or more at least one window is in both.
+verbatim run of PARAGRAPH + RUN - 1 = 30 words or more at least one window is in both. Near copies of a
+passage inside longer lines are found by the windows of the verbatim runs between their changes: c changed
+words leave five-word shingles at 0.8 Jaccard only from 45 c + 4 words on, so that the longest run between
+them has 30 words at least, unless c is 1 and the passage is shorter than 60 words.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from textlake.llm.runtime import drop_extra, materialize
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words of a window, and of a line at least, to count as a paragraph.
 PARAGRAPH = 26
+#: Neighbouring starts of which one at least begins a window.
+RUN = 5
 SHINGLE = 5
 #: BANDS bands of ROWS minima: two paragraphs at similarity 0.8 meet in a band with probability 0.993.
 BANDS, ROWS = 7, 3
@@ -74,7 +79,7 @@ def paragraphs(text: str | None) -> tuple[list[int], list[int], list[int], list[
         h = h + w[j : j + grams] * _POWERS[j]
     h = _mix(h)
     whole = n - PARAGRAPH + 1
-    at = _places(h[:whole], PARAGRAPH)
+    at = _places(h[:whole], RUN)
     window = np.zeros(len(at), np.uint64)
     for part, power in zip(_PARTS, _PART_POWERS):
         window = window + h[at + part] * power
@@ -231,10 +236,14 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     found = materialize(d.mapInArrow(read, f"doc_id {kind}, start int, n int, h long, s array<int>"))
     star = connected(line_links(found.where("s IS NOT NULL"), similarity))
     star = star.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    # only lines have links between different hashes: windows are their clusters and need no join
+    # only lines have links between different hashes: windows are their own clusters. Nearly all stand once, and
+    # only a count of their hashes is dealt out for those
     place = ["doc_id", "start", "n"]
+    windows = found.where("s IS NULL").select(*place, F.col("h").alias("cluster"))
+    several = materialize(windows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("cluster").alias("_c")))
+    windows = windows.join(several, F.col("cluster") == F.col("_c"), "left_semi")
     lines = found.where("s IS NOT NULL").select(*place, "h").join(star, F.col("h") == F.col("_u"), "left").select(*place, F.coalesce("_v", "h").alias("cluster"))
-    rows = found.where("s IS NULL").select(*place, F.col("h").alias("cluster")).unionByName(lines)
+    rows = windows.unionByName(lines)
     # nulls last: a null id never is the document that stays unless all are null
     ends = rows.groupBy("cluster").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
     ends = ends.where("first <> last OR (nameless AND first IS NOT NULL)").select(F.col("cluster").alias("_cluster"), "first")
