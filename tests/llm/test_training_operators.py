@@ -476,3 +476,15 @@ def test_near_copies_inside_longer_lines(spark):
         docs += [(2 * i + j, " ".join([words(rng, 45), *p, words(rng, 45)])) for j, p in enumerate((passage, other))]
     got = {r.doc_id: r.n_removed for r in passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert set(got) == set(range(2 * len(pairs))) and all((got[i] > 0) == (i % 2 == 1) for i in got)
+
+
+def test_every_place_of_a_passage(spark):
+    rng = random.Random(21)
+    p = words(rng, 60)
+    docs = [(1, " ".join([words(rng, 40), p, words(rng, 40)])), (2, " ".join([words(rng, 30), p, words(rng, 50), p, words(rng, 20), p]))]
+    got = {r.doc_id: r for r in passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    clusters = {x.cluster for x in got[1].passages}
+    for at in (30, 140, 220):  # windows inside each copy
+        inside = {x.cluster for x in got[2].passages if x.removed and at <= x.start_word and x.start_word + x.n_words <= at + 60}
+        assert inside & clusters and len(inside) >= len(clusters) - 2
+    assert got[2].n_removed == got[2].n_shared == len(got[2].passages) and got[1].n_removed == 0

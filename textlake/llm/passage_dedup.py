@@ -83,8 +83,8 @@ def paragraphs(text: str | None) -> tuple[list[int], list[int], list[int], list[
     window = np.zeros(len(at), np.uint64)
     for part, power in zip(_PARTS, _PART_POWERS):
         window = window + h[at + part] * power
-    window, first = np.unique(_mix(window), return_index=True)
-    starts += at[first].tolist()
+    window = _mix(window)
+    starts += at.tolist()
     sizes += [PARAGRAPH] * len(window)
     hashes += window.view(np.int64).tolist()
     sets += [None] * len(window)
@@ -211,7 +211,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     passages: (start_word, n_words, cluster, removed) in text order. A cluster is a component of paragraphs
     with equal words or, for lines, at least ``similarity`` exact Jaccard over five-word shingles; its copies
-    in the smallest doc_id stay, the others are removed. Paragraphs have PARAGRAPH words at least, so common
+    in the smallest doc_id stay, the others are removed, at every place where a document has them. Paragraphs have PARAGRAPH words at least, so common
     short lines don't count. Case is folded.
 
     Null, empty or shorter texts: no row. A passage repeated inside one document only: no row. Repeated rows
