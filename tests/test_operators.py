@@ -1,6 +1,8 @@
 """Hand-made cases and Python restatements of rules that SQL can't state."""
 
 import io
+import math
+import random
 import re
 import zipfile
 
@@ -180,3 +182,21 @@ def test_stream_equals_batch(spark, tmp_path):
 @pytest.mark.parametrize("name,want", [("mi archivo.txt", "mi_archivo.txt"), ("***", "unnamed_file")])
 def test_filenames(spark, name, want):
     assert one(spark, T.clean_filename(F.col("n")), n=name) == want
+
+
+def test_nearest_to_each_of_many_queries(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(1100)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = search.nearest_to_each(e, e, "vec_id", "embedding", 3)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query, r.rank): (r.vec_id, r.similarity) for r in out.collect()}
+    assert len(got) == 3300
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    for i, q in rows[::97]:
+        want = sorted(((-cosine(v, q), j) for j, v in rows if j != i))[:3]
+        for rank, (c, j) in enumerate(want, 1):
+            assert got[i, rank][0] == j and abs(got[i, rank][1] + c) < 1e-9
