@@ -319,6 +319,14 @@ def test_licenses(spark):
     assert got[1, "MIT"].first_word == 500 and got[1, "MIT"].places == 2 and got[3, "CC-BY-NC-4.0"].coverage == 1.0
 
 
+def test_licenses_in_near_succession(spark):
+    mit = "Released under the MIT License."
+    texts = [f"the cat sat {mit} {mit} The end", f"{mit} under {mit} the {mit}", "Released under MIT License. Released under the MIT License", "License the MIT under released", " ".join([license_scan.TEMPLATES["MIT-permission"]] * 3)]
+    got = {r.doc_id: (r.license, r.coverage, r.first_word, r.last_word, r.places) for r in license_scan.scan(table(spark, [(i, x, "en", "a") for i, x in enumerate(texts)])).collect()}
+    size = len(license_scan.words_of(texts[4])) // 3
+    assert got == {0: ("MIT", 1.0, 3, 7, 2), 1: ("MIT", 1.0, 0, 4, 3), 2: ("MIT", 1.0, 4, 8, 2), 4: ("MIT-permission", 1.0, 0, size - 1, 3)}
+
+
 def test_licenses_whole_table(spark):
     found = {(r.doc_id, r.license) for r in license_scan.scan(documents(spark)).collect()}
     for d in documents(spark).collect():

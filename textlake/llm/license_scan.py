@@ -112,6 +112,50 @@ class Scanner:
                     out.append([hits[first], i + 1])
         return [(a, b) for a, b in out]
 
+    def tight(self, words: list[str], a: int, b: int, template: list[str], width: int) -> tuple[int, int, int] | None:
+        """(aligned words, first, last + 1) at the first place of words[a:b] where enough of the template's words
+        stand in order within ``width`` words; the longest such run that ends there, as short as it can be."""
+        need = self.coverage * len(template)
+        row = [(0, 0)] * (len(template) + 1)  # aligned words and where they begin: of equally many, the later
+        for i in range(a, b):
+            w, last, hit = words[i], (0, 0), False
+            for j, t in enumerate(template, 1):
+                old = row[j]
+                new = max(old, row[j - 1])
+                if w == t:
+                    hit = True
+                    new = max(new, (last[0] + 1, last[1] if last[0] else i))
+                last, row[j] = old, new
+            n, first = row[-1]
+            if hit and n >= need:
+                if i - first < width:
+                    return n, first, i + 1
+                if (close := self.tight(words, i - width + 1, i + 1, template, width)) is not None:
+                    return close
+        return None
+
+    def places(self, words: list[str], a: int, b: int, template: list[str], counts: Counter) -> list[tuple[float, int, int]]:
+        """(coverage, first, last) of each place of the template in a region, from left to right. A region that can
+        hold one place only is aligned whole; else, or where that fails, the single places are aligned in turn."""
+        size, width = len(template), self.stretch * len(template)
+        if sum(w in counts for w in words[a:b]) < 2 * self.coverage * size:
+            pairs = patience(words[a:b], template)
+            if len(pairs) >= self.coverage * size:
+                return [(len(pairs) / size, a + pairs[0][0], a + pairs[-1][0])]
+        out = []
+        while (found := self.tight(words, a, b, template, width)) is not None:
+            n, first, end = found
+            # later words join a place as long as they add to it and are no place of their own
+            for i in range(end, min(b, first + width)):
+                if words[i] in counts:
+                    if self.tight(words, end, i + 1, template, width) is not None:
+                        break
+                    if (more := len(patience(words[first : i + 1], template))) > n:
+                        n, end = more, i + 1
+            out.append((n / size, first, end - 1))
+            a = end
+        return out
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, first word, last word, places) for each template that the text covers."""
         words = words_of(text) if text else []
@@ -124,12 +168,10 @@ class Scanner:
                 continue
             best, places = None, 0
             for a, b in self.regions(words, len(template), counts):
-                pairs = patience(words[a:b], template)
-                share = len(pairs) / len(template)
-                if share >= self.coverage:
+                for place in self.places(words, a, b, template, counts):
                     places += 1
-                    if best is None or share > best[0]:
-                        best = (share, a + pairs[0][0], a + pairs[-1][0])
+                    if best is None or place[0] > best[0]:
+                        best = place
             if best:
                 found.append((name, round(best[0], 6), best[1], best[2], places))
         # where templates overlap in the text, the better covered one speaks
