@@ -200,3 +200,25 @@ def test_nearest_to_each_of_many_queries(spark):
         want = sorted(((-cosine(v, q), j) for j, v in rows if j != i))[:3]
         for rank, (c, j) in enumerate(want, 1):
             assert got[i, rank][0] == j and abs(got[i, rank][1] + c) < 1e-9
+
+
+def test_known_authors_against_all_pairs(spark):
+    rng = random.Random(9)
+    authors_ = ["Gabriel Marquez", "Ana Lopez Ruiz", "Li Po", "Juan Ramon Jimenez Mantecon", "Bo"]
+    names = ["Gbriel Mrquez", "Xna Yopez Ruiz"]
+    for a in authors_ * 30:
+        w = list(a)
+        for _ in range(rng.randrange(1, 6)):
+            i = rng.randrange(len(w) + 1)
+            w[i : i + rng.randrange(2)] = rng.choice(["", "a", "z"])
+        names.append("".join(w))
+    known = spark.createDataFrame([(a, []) for a in authors_], "author string, aliases array<string>")
+    out = authors.known(spark.createDataFrame([(n,) for n in sorted(set(names))], "name string"), "name", known)
+    got = {r.name: (r.canonical, r.match) for r in out.collect()}
+    pairs = spark.createDataFrame([(n, a) for n in got for a in authors_], "n string, a string")
+    best = {}
+    for r in pairs.select("n", "a", (T.name_key(F.col("n")) == T.name_key(F.col("a"))).alias("same"), T.token_sort_ratio(F.col("n"), F.col("a")).alias("sim")).collect():
+        if r.same or r.sim >= 0.85:
+            best[r.n] = max(best.get(r.n, (0, "")), (2.0 if r.same else r.sim, r.a))
+    assert {n: c for n, (c, _) in got.items() if c} == {n: a for n, (_, a) in best.items()}
+    assert got["Gbriel Mrquez"] == ("Gabriel Marquez", 0.866667)

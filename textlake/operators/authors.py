@@ -136,15 +136,25 @@ def metadata_author(*fields: Column) -> Column:
 def known(candidates: DataFrame, name: str, dictionary: DataFrame, least: float = 0.85) -> DataFrame:
     """Adds ``canonical`` and ``match``: exact folded name 1.0, alias 0.95, else the best similarity from
     ``least`` on. ``dictionary``: (author, aliases). Exact matches are an equi-join; only names left over are
-    compared, and only with authors that share a word's first four letters, never all with all."""
+    compared, and only with authors that share a piece: of a name cut into one piece more than it may have edits,
+    one piece stands unchanged in the other name, at most as many places off. No pair from ``least`` on is lost."""
     d = dictionary.select("author", F.explode(F.concat(F.array(F.struct(T.name_key(F.col("author")).alias("k"), F.lit(1.0).alias("m"))), F.transform("aliases", lambda a: F.struct(T.name_key(a).alias("k"), F.lit(0.95).alias("m"))))).alias("_d"))
     d = d.select("author", F.col("_d.k").alias("k"), F.col("_d.m").alias("m")).groupBy("k").agg(F.max(F.struct("m", "author")).alias("_e"))
     c = candidates.withColumn("_k", T.name_key(F.col(name)))
     exact = c.join(d, c["_k"] == d["k"], "left").drop("k")
-    stems = lambda k: F.array_distinct(F.transform(F.split(k, " "), lambda w: F.left(w, F.lit(4))))
-    left = exact.where("_e IS NULL").select("_k").distinct().withColumn("_s", F.explode(stems(F.col("_k"))))
-    right = d.select(F.col("k").alias("_dk"), F.col("_e.author").alias("_author"), F.explode(stems(F.col("k"))).alias("_t"))
-    near = left.join(right, F.col("_s") == F.col("_t")).withColumn("_sim", T.token_sort_ratio(F.col("_k"), F.col("_dk")))
+    ordered = lambda k: F.array_join(F.array_sort(F.split(k, " ")), " ")
+    edits = lambda n: F.floor((1 - least) / least * n + 1e-9).cast("int")
+    at = lambda i, n: F.floor(i * n / (edits(n) + 1)).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), edits(n))
+    part = lambda c, n, i, start: F.struct(n.alias("n"), i.alias("i"), F.substring(c, start + 1, at(i + 1, n) - at(i, n)).alias("p"))
+    x, y = F.col("_x"), F.col("_y")
+    sizes = F.sequence(F.ceil(F.length(x) * least - 1e-9).cast("int"), F.floor(F.length(x) / least + 1e-9).cast("int"))
+    shifts = lambda n, i: F.sequence(F.greatest(at(i, n) - edits(n), F.lit(0)), at(i, n) + edits(n))
+    cuts = F.flatten(F.transform(sizes, lambda n: F.flatten(F.transform(numbers(n), lambda i: F.transform(shifts(n, i), lambda j: part(x, n, i, j))))))
+    left = exact.where("_e IS NULL").select("_k").distinct().withColumn("_x", ordered(F.col("_k"))).select("_k", F.explode(F.array_distinct(cuts)).alias("_s"))
+    right = d.select(F.col("k").alias("_dk"), F.col("_e.author").alias("_author"), ordered(F.col("k")).alias("_y"))
+    right = right.select("_dk", "_author", F.explode(F.transform(numbers(F.length(y)), lambda i: part(y, F.length(y), i, at(i, F.length(y))))).alias("_t"))
+    near = left.join(right, F.col("_s") == F.col("_t")).select("_k", "_dk", "_author").distinct().withColumn("_sim", T.token_sort_ratio(F.col("_k"), F.col("_dk")))
     near = near.where(F.col("_sim") >= least).groupBy("_k").agg(F.max(F.struct("_sim", "_author")).alias("_f"))
     out = exact.join(near, "_k", "left")
     return out.withColumn("canonical", F.coalesce("_e.author", "_f._author")).withColumn("match", F.coalesce("_e.m", F.round("_f._sim", 6), F.lit(0.0))).drop("_k", "_e", "_f")
