@@ -11,7 +11,7 @@ _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row numbe
 
 
 def globally_sorted(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """``df`` in the order of ``keys``, with ``_part`` (range partition) and ``_at`` (row in it).
+    """``df`` in the order of ``keys`` (end them in a number of the row: equal rows share a range), with ``_part`` (range partition) and ``_at`` (row in it).
 
     The result is written once, so its numbers never change when a task is run again.
     """

@@ -13,7 +13,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 _SHIPPED: set[str] = set()
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="textlake-"))
     return _OWN[0]
@@ -34,7 +37,27 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.textlake_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and that no later step reads, and has the driver drop the
+    shuffles of finished jobs that nothing refers to any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.textlake_path
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """(row: all columns of ``docs`` as one struct, n: a number of the row, ``more``), written once so that the
+    numbers hold. Inside the struct columns of any name can't clash with an operator's own."""
+    ship(docs.sparkSession)
+    return materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n"), *more))
 
 
 def drop_extra(df: DataFrame, *needed: str) -> DataFrame:

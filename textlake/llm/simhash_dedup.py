@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.components import connected
-from textlake.llm.runtime import drop_extra, materialize
+from textlake.llm.runtime import drop_extra, materialize, numbered
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -148,6 +148,14 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def components_of(own: DataFrame) -> DataFrame:
+    """(fp, first: its least doc_id, root: the least fingerprint of its component) for each fingerprint of ``own``."""
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    star = connected(links(distinct))
+    named = distinct.join(star.select(F.col("u").alias("_u"), F.col("v").alias("_root")), F.col("fp") == F.col("_u"), "left")
+    return named.select("fp", "first", F.coalesce("_root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs``.
 
@@ -159,18 +167,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     sequence is one. Repeated rows and ids: each row is returned. Empty table: no rows.
     """
     own = materialize(fingerprints(docs, shingle))
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    star = connected(links(distinct))
-    named = distinct.join(star.select(F.col("u").alias("_u"), F.col("v").alias("_root")), F.col("fp") == F.col("_u"), "left")
-    named = named.select("fp", "first", F.coalesce("_root", "fp").alias("root"))
+    named = components_of(own)
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "_root")
     groups = materialize(named.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id"))
     return own.join(groups, F.col("fp") == F.col("_fp")).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with its smallest doc_id, all
-    columns as they were. Rows that repeat that id leave one row. Rows without an id stay."""
-    stay = near_duplicates(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(materialize(stay), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs`` without near-duplicates, all columns as they were: of each component one row, that
+    of the smallest doc_id.
+
+    Rows count one by one: of rows that repeat the smallest id the first as read stays, rows of one id whose
+    texts don't link are in components of their own, and rows without an id come last in theirs. Null and empty
+    texts, ties and an empty table as in ``near_duplicates``. Extra columns may have any names.
+    """
+    rows = numbered(docs)
+    own = materialize(fingerprints(rows.select(F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), "n").alias("doc_id"), "row.text"), shingle))
+    groups = components_of(own)
+    stay = materialize(groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("_n")))
+    return rows.join(stay, F.col("n") == F.col("_n"), "left_semi").select("row.*")
