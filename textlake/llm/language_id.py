@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.runtime import drop_extra
+from textlake.llm.runtime import drop_extra, materialize
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Counts of more languages than this are joined by a shuffle instead of a broadcast.
+BROADCAST_LANGUAGES = 100_000
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; numbers such as fractions aren't."""
+    return any(map(str.isalpha, text))
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -20,28 +25,35 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % folds == fold
 
 
-def learn(docs: DataFrame, texts: int = 96, text_chars: int = 3000, languages: int = 500, dictionary_bytes: int = 96 << 10) -> dict[str, bytes]:
-    """Dictionary content by language, from at most ``texts`` training texts a language and ``text_chars``
-    of each (the bound of this fit), chosen by lowest hash of their ids: the same at every run. ``languages`` bounds how
-    many languages, by frequency, get a dictionary. Null lang, null text and held-out rows teach nothing.
+def learn(docs: DataFrame, texts: int = 96, dictionary_bytes: int = 128 << 10, all_bytes: int = 64 << 20) -> dict[str, bytes]:
+    """Dictionary content of every language among the training rows.
+
+    The bound of this fit: of each language different whole texts, those that hash lowest (the same at every run),
+    ``texts`` of them at most and while they fit into ``dictionary_bytes``, or into an equal share of
+    ``all_bytes`` where languages are many. Texts of more than an eighth of that room come after all others;
+    one text is taken whatever its length. Null lang, null text and held-out rows teach nothing. Empty table:
+    no languages.
     """
     d = drop_extra(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
+    counts = materialize(d.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("_count")).withColumnRenamed("lang", "_lang"))
+    languages = counts.count()
+    if not languages:
         return {}
+    room = max(1, min(dictionary_bytes, all_bytes // languages))
+    small = F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts
     # a threshold on the hash gives about three times as many texts as needed, whatever the table's size
-    spark = docs.sparkSession
-    share = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, 3.0 * texts / r["count"])) for r in counts], "_lang string, _share double"))
-    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    near = d.withColumn("_h", h).join(share, F.col("lang") == F.col("_lang")).where("_h < _share")
-    cut = near.select("lang", "_h", F.substring("text", 1, text_chars).alias("text"))
-    # at most 3 * texts rows a language are expected; the heap of min hashes keeps exactly texts of them
-    chosen = cut.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("_h", "text"))), 1, texts).alias("rows")).collect()
-    out = {}
-    for r in sorted(chosen, key=lambda r: r["lang"]):
-        content = "\n".join(x["text"] for x in r["rows"]).lower().encode()
-        out[r["lang"]] = content[-dictionary_bytes:]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    h = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    near = d.withColumn("_h", h).join(small, F.col("lang") == F.col("_lang")).where(F.col("_h") * F.col("_count") < F.lit(3.0 * texts))
+    # copies of a text, however many, leave each task as one
+    keyed = near.select("lang", F.xxhash64("text").alias("_key"), (F.octet_length("text") + 1).alias("_size"), "text").dropDuplicates(["lang", "_key"])
+    order = Window.partitionBy("lang").orderBy(F.col("_size") > room // 8, F.shiftrightunsigned("_key", 1), "_key")
+    chosen = keyed.withColumn("_n", F.row_number().over(order)).withColumn("_bytes", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = chosen.where((F.col("_n") == 1) | ((F.col("_n") <= texts) & (F.col("_bytes") <= room)))
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in chosen.select("lang", "_n", "text").collect():
+        out.setdefault(r["lang"], []).append((r["_n"], r["text"]))
+    joined = {lang: "\n".join(text for _, text in sorted(rows)).lower().encode("utf-8", "replace") for lang, rows in sorted(out.items())}
+    return {lang: content for lang, content in joined.items() if len(content) >= 8}
 
 
 class Classifier:
@@ -62,7 +74,7 @@ class Classifier:
         return [sum([len(c.compress(b)) for b in blocks]) for c in self.coders]
 
     def predict(self, text: str | None, margin: float) -> tuple[str, float, bool]:
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0, True
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.langs[i]))
@@ -78,7 +90,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
     lang_pred: the language whose dictionary makes the whole text smallest; of equals, the first by name.
     score: 0.5 where the two best are equal, up to 1. narrow: the answer is to be rejected, the runner-up
     is within ``margin`` of the best. Null text or no letter, or nothing learnt: ``und``, 0, narrow. Any
-    length is compressed whole, in blocks. Empty table: no rows.
+    length is compressed whole, in blocks. Repeated rows: each predicted. Empty table: no rows. Extra columns of
+    any name are left alone.
     """
 
     @F.pandas_udf("struct<lang_pred string, score double, narrow boolean>")

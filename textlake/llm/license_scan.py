@@ -162,20 +162,24 @@ class Scanner:
         if not words:
             return []
         there = set(words)
-        found = []
+        spots: list[tuple[float, int, int, int, str]] = []
         for name, template, counts in self.templates:
             if sum(n for w, n in counts.items() if w in there) < self.coverage * len(template):
                 continue
-            best, places = None, 0
             for a, b in self.regions(words, len(template), counts):
-                for place in self.places(words, a, b, template, counts):
-                    places += 1
-                    if best is None or place[0] > best[0]:
-                        best = place
-            if best:
-                found.append((name, round(best[0], 6), best[1], best[2], places))
-        # where templates overlap in the text, the better covered one speaks
-        return [x for x in found if not any(y[1] > x[1] and y[2] <= x[3] and x[2] <= y[3] for y in found)]
+                spots += [(cover, first, last, len(template), name) for cover, first, last in self.places(words, a, b, template, counts)]
+        # where places of templates overlap, the better covered one speaks, of equals the longer template; each
+        # place is judged by itself, so a license that loses one place keeps its others
+        found: dict[str, list] = {}
+        taken: list[tuple[int, int]] = []  # disjoint, in text order
+        for cover, first, last, _, name in sorted(spots, key=lambda x: (-x[0], -x[3], x[1], x[4])):
+            k = bisect_left(taken, (first, first))
+            if (k and taken[k - 1][1] >= first) or (k < len(taken) and taken[k][0] <= last):
+                continue
+            taken.insert(k, (first, last))
+            best = found.setdefault(name, [cover, first, last, 0])
+            best[3] += 1
+        return [(name, round(cover, 6), first, last, places) for name, (cover, first, last, places) in sorted(found.items())]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
@@ -183,8 +187,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     of which at least ``coverage`` of the words align. Words are folded in case and lose punctuation.
 
     Whole texts are read where they lie, no shuffle. Null text, empty text or no match: no row. Several
-    places: the best covered (of equals the first) and their number. Templates must fit a closure: they are
-    a list kept by hand. Empty table: no rows.
+    places: the best covered (of equals the first) and their number. Where places of several templates overlap,
+    the better covered one counts, of equals the longer template. Templates must fit a closure: they are
+    a list kept by hand. Repeated rows: each scanned. Empty table: no rows. Extra columns of any name are left alone.
     """
     chosen = dict(templates or TEMPLATES)
 

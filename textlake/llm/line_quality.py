@@ -17,6 +17,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 FEATURES = ("symbols", "repeats", "copied line", "capitals", "short", "no end mark", "bias")
 ENDS = (".", "!", "?", '"', ":", ";")
+#: Lines of a training chain; longer pages give several.
+CHAIN = 32
 
 
 @dataclass(frozen=True)
@@ -96,65 +98,142 @@ def viterbi(crf: Crf, features: list[tuple[float, ...]]) -> list[int]:
     return labels[::-1]
 
 
-def fit(pages: list[Page], labels: list[int], longest: int = 40, steps: int = 120, rate: float = 0.1, penalty: float = 1e-2) -> Crf:
-    """Maximum likelihood by gradient steps on all pages at once (forward-backward in numpy).
+@dataclass
+class Chain:
+    """Up to CHAIN neighbouring lines of a training page: the page they are of, whether it is marked bad, whether
+    they are its first ones, and the lines' words and features."""
+
+    page: tuple
+    bad: bool
+    start: bool
+    sizes: np.ndarray
+    features: np.ndarray
+
+
+class _Batch:
+    """Chains of falling length side by side; a step along the lines works on those that are long enough."""
+
+    def __init__(self, chains: list[Chain]):
+        self.chains = sorted(chains, key=lambda c: -len(c.sizes))
+        self.length = np.array([len(c.sizes) for c in self.chains])
+        self.open = [int((self.length > t).sum()) for t in range(int(self.length[0]))]
+        self.there = np.arange(len(self.open))[None, :] < self.length[:, None]
+        self.start = np.array([c.start for c in self.chains])
+        self.x = np.zeros((len(self.chains), len(self.open), len(FEATURES)))
+        self.words = np.zeros(self.there.shape)
+        for i, c in enumerate(self.chains):
+            self.x[i, : len(c.sizes)] = c.features
+            self.words[i, : len(c.sizes)] = c.sizes
+        pages: dict[tuple, list[int]] = {}
+        for i, c in enumerate(self.chains):
+            pages.setdefault(c.page, []).append(i)
+        self.pages = [(np.array(rows), self.chains[rows[0]].bad) for rows in pages.values()]
+
+    def marginals(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of both labels at each line, and of each pair of labels summed over all neighbours."""
+        dims = len(FEATURES)
+        w, pairs, first = theta[:dims], theta[dims : dims + 4].reshape(2, 2), theta[dims + 4 :]
+        emit = np.zeros((*self.there.shape, 2))
+        emit[:, :, 1] = self.x @ w
+        alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
+        alpha[:, 0] = first * self.start[:, None] + emit[:, 0]
+        for t in range(1, len(self.open)):
+            n = self.open[t]
+            alpha[:n, t] = np.logaddexp(alpha[:n, t - 1, 0, None] + pairs[0], alpha[:n, t - 1, 1, None] + pairs[1]) + emit[:n, t]
+        for t in range(len(self.open) - 2, -1, -1):
+            n = self.open[t + 1]
+            nxt = emit[:n, t + 1] + beta[:n, t + 1]
+            beta[:n, t] = np.logaddexp(pairs[:, 0] + nxt[:, 0, None], pairs[:, 1] + nxt[:, 1, None])
+        ends = alpha[np.arange(len(self.length)), self.length - 1]
+        z = np.logaddexp(ends[:, 0], ends[:, 1])
+        node = np.exp(alpha + beta - z[:, None, None]) * self.there[:, :, None]
+        joint = np.zeros((2, 2))
+        for t in range(1, len(self.open)):
+            n = self.open[t]
+            joint += np.exp(alpha[:n, t - 1, :, None] + pairs + (emit[:n, t] + beta[:n, t])[:, None, :] - z[:n, None, None]).sum(0)
+        return node, joint
+
+    def labels(self, theta: np.ndarray) -> np.ndarray:
+        """The likelier label of each line, under what is known of its page: at least half of the words of a bad
+        page are boilerplate, at most half of any other's. The likeliest lines are turned until that holds."""
+        chance = self.marginals(theta)[0][:, :, 1]
+        y = (chance > 0.5) & self.there
+        for rows, bad in self.pages:
+            at = [(i, t) for i in rows for t in range(self.length[i])]
+            half = 0.5 * sum(self.words[i, t] for i, t in at)
+            marked = sum(self.words[i, t] for i, t in at if y[i, t])
+            for i, t in sorted(at, key=lambda p: chance[p], reverse=bad):
+                if marked >= half if bad else marked <= half:
+                    break
+                if y[i, t] != bad:
+                    y[i, t] = bad
+                    marked += self.words[i, t] * (1 if bad else -1)
+        return y.astype(int)
+
+    def fitted(self, theta: np.ndarray, y: np.ndarray, steps: int, rate: float, penalty: float) -> np.ndarray:
+        """Likelihood of the labels ``y`` climbed by gradient steps from ``theta`` on."""
+        dims, n = len(FEATURES), len(self.chains)
+        own = np.einsum("nt,ntd->d", y * self.there, self.x)
+        steady = self.there[:, 1:]
+        seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & steady).sum() for b in (0, 1)] for a in (0, 1)])
+        begun = np.array([(self.start & (y[:, 0] == a)).sum() for a in (0, 1)])
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, steps + 1):
+            node, joint = self.marginals(theta)
+            grad = np.concatenate([own - np.einsum("nt,ntd->d", node[:, :, 1], self.x), (seen - joint).ravel(), begun - node[self.start, 0].sum(0)])
+            grad = grad / n - penalty * theta
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return theta
+
 
-    ``labels``: 1 for a document marked bad, whose lines then all count as boilerplate. A page gives its
-    first ``longest`` lines. Without both kinds of label the default weights hold.
+def chains_of(page: Page) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+    """All lines of a page, cut into chains of CHAIN lines."""
+    cuts = range(0, len(page.sizes), CHAIN)
+    return [(i == 0, np.array(page.sizes[i : i + CHAIN], float), np.array(page.features[i : i + CHAIN], float)) for i in cuts]
+
+
+def fit(chains: list[Chain], rounds: int = 3, steps: int = 60, rate: float = 0.1, penalty: float = 1e-2) -> Crf:
+    """A field learnt from pages of which only the whole is labelled.
+
+    The lines' labels are latent: from the default weights on, each round marks the lines as the field so far
+    sees them, turned where the page's label says otherwise, and fits the field to these marks. So the clean
+    lines of a bad page count as content, and the odd bad line of a good one as boilerplate. Without both
+    kinds of page the default weights hold.
     """
-    kept = [(p, y) for p, y in zip(pages, labels) if p.features]
-    if len({y for _, y in kept}) < 2:
+    if len({c.bad for c in chains}) < 2:
         return Crf()
-    n, dims = len(kept), len(FEATURES)
-    length = np.array([min(longest, len(p.features)) for p, _ in kept])
-    x = np.zeros((n, longest, dims))
-    for i, (p, _) in enumerate(kept):
-        x[i, : length[i]] = p.features[:longest]
-    y = np.array([y for _, y in kept])
-    there = np.arange(longest)[None, :] < length[:, None]
-    theta = np.concatenate([np.zeros(dims), np.zeros(4), np.zeros(2)])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        w, pairs, first = theta[:dims], theta[dims : dims + 4].reshape(2, 2), theta[dims + 4 :]
-        emit = np.zeros((n, longest, 2))
-        emit[:, :, 1] = x @ w
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = first + emit[:, 0]
-        for t in range(1, longest):
-            new = np.logaddexp(alpha[:, t - 1, 0, None] + pairs[0], alpha[:, t - 1, 1, None] + pairs[1]) + emit[:, t]
-            alpha[:, t] = np.where(there[:, t, None], new, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = emit[:, t + 1] + beta[:, t + 1]
-            new = np.logaddexp(pairs[:, 0] + nxt[:, 0, None], pairs[:, 1] + nxt[:, 1, None])
-            beta[:, t] = np.where(there[:, t + 1, None], new, 0.0)
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        node = np.exp(alpha + beta - z[:, None, None]) * there[:, :, None]
-        grad = np.zeros_like(theta)
-        grad[:dims] = np.einsum("nt,ntd->d", (y[:, None] - node[:, :, 1]) * there, x)
-        for t in range(1, longest):
-            joint = np.exp(alpha[:, t - 1, :, None] + pairs + (emit[:, t] + beta[:, t])[:, None, :] - z[:, None, None]) * there[:, t, None, None]
-            seen = np.zeros((n, 2, 2))
-            seen[np.arange(n), y, y] = there[:, t]
-            grad[dims : dims + 4] += (seen - joint).sum(0).ravel()
-        grad[dims + 4 :] = (np.eye(2)[y] - node[:, 0]).sum(0)
-        grad = grad / n - penalty * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    t = [round(float(a), 6) for a in theta]
+    batch = _Batch(chains)
+    start = Crf()
+    theta = np.array([*start.weights, *start.pairs[0], *start.pairs[1], *start.first])
+    for _ in range(rounds):
+        theta = batch.fitted(theta, batch.labels(theta), steps, rate, penalty)
+    t, dims = [round(float(a), 6) for a in theta], len(FEATURES)
     return Crf(tuple(t[:dims]), ((t[dims], t[dims + 1]), (t[dims + 2], t[dims + 3])), (t[dims + 4], t[dims + 5]))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 800) -> Crf:
-    """A field learnt from at most ``sample`` labelled documents: those whose ids hash lowest, the same at
-    every run. Documents without a label, null labels and unlabelled tables are left out."""
+def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 800, chains: int = 2000) -> Crf:
+    """A field learnt from at most ``sample`` labelled documents, those whose ids hash lowest, and at most
+    ``chains`` chains of their lines: the bounds of this fit, the same documents at every run. Lines become
+    features where they lie; no text comes to the driver. Ids may be of any type. Documents without a label,
+    null labels and ids and unlabelled tables are left out.
+    """
     rows = drop_extra(labels, "doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    if not chosen:
-        return Crf()
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(r.doc_id, int(r.quality)) for r in chosen], "doc_id long, quality int"))
-    found = drop_extra(docs, "doc_id", "text").join(wanted, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-    return fit([read(r.text) for r in found], [int(r.quality == 0) for r in found])
+    wanted = F.broadcast(rows.select(F.col("doc_id").alias("_id"), "quality").orderBy(F.xxhash64("_id"), "_id").limit(sample))
+    found = drop_extra(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"))
+    found = found.select(F.xxhash64("_id").alias("id"), F.xxhash64("text").alias("hash"), (F.col("quality") == 0).alias("bad"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text_hash, bad, text in zip(*[c.to_pylist() for c in batch.columns]):
+                for part, (_, sizes, features) in enumerate(chains_of(read(text))):
+                    out.append((key, text_hash, part, bad, sizes.tobytes(), features.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["id", "hash", "part", "bad", "sizes", "features"])
+
+    cut = found.mapInArrow(run, "id long, hash long, part int, bad boolean, sizes binary, features binary").orderBy("id", "hash", "part").limit(chains).collect()
+    return fit([Chain((r.id, r.hash), r.bad, r.part == 0, np.frombuffer(r.sizes), np.frombuffer(r.features).reshape(-1, len(FEATURES))) for r in cut])
 
 
 def judge(docs: DataFrame, crf: Crf, least_share: float = 0.5, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
@@ -165,7 +244,7 @@ def judge(docs: DataFrame, crf: Crf, least_share: float = 0.5, least_words: int
     Each text is read whole in one pass where it lies: no shuffle.
 
     Null or empty text: no words, so it fails the base rules; content_share 0. Repeated rows: each judged.
-    Empty table: no rows.
+    Ties between labels: content. Empty table: no rows. Extra columns of any name are left alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +267,8 @@ def judge(docs: DataFrame, crf: Crf, least_share: float = 0.5, least_words: int
 
 
 def keep(docs: DataFrame, crf: Crf, least_share: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns as they were, in one pass without a join."""
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they were, in one pass without a join. Nulls, empty
+    texts, repeated rows and an empty table as there; extra columns may have any names."""
     ship(docs.sparkSession)
     position = docs.columns.index("text")
 
