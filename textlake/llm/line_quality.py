@@ -19,6 +19,10 @@ FEATURES = ("symbols", "repeats", "copied line", "capitals", "short", "no end ma
 ENDS = (".", "!", "?", '"', ":", ";")
 #: Lines of a training chain; longer pages give several.
 CHAIN = 32
+#: Odds of boilerplate against content for a line of a page marked bad, before the line is looked at.
+PRIOR = 4.0
+#: How many times as much the scores of label pairs and first labels are held back in training as those of features.
+STEADY = 50.0
 
 
 @dataclass(frozen=True)
@@ -119,6 +123,7 @@ class _Batch:
         self.open = [int((self.length > t).sum()) for t in range(int(self.length[0]))]
         self.there = np.arange(len(self.open))[None, :] < self.length[:, None]
         self.start = np.array([c.start for c in self.chains])
+        self.bad = np.array([c.bad for c in self.chains])
         self.x = np.zeros((len(self.chains), len(self.open), len(FEATURES)))
         self.words = np.zeros(self.there.shape)
         for i, c in enumerate(self.chains):
@@ -154,10 +159,12 @@ class _Batch:
         return node, joint
 
     def labels(self, theta: np.ndarray) -> np.ndarray:
-        """The likelier label of each line, under what is known of its page: at least half of the words of a bad
-        page are boilerplate, at most half of any other's. The likeliest lines are turned until that holds."""
+        """The likelier label of each line, given its page's: a line of a bad page is boilerplate with odds of
+        PRIOR, of any other page with the inverse, beside what the field says. At least half of the words of a bad
+        page are boilerplate, at most half of any other's: the likeliest lines are turned until that holds."""
         chance = self.marginals(theta)[0][:, :, 1]
-        y = (chance > 0.5) & self.there
+        odds = np.log(chance + 1e-12) - np.log(1 - chance + 1e-12)
+        y = (odds + np.where(self.bad, np.log(PRIOR), -np.log(PRIOR))[:, None] > 0) & self.there
         for rows, bad in self.pages:
             at = [(i, t) for i in rows for t in range(self.length[i])]
             half = 0.5 * sum(self.words[i, t] for i, t in at)
@@ -178,10 +185,12 @@ class _Batch:
         seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & steady).sum() for b in (0, 1)] for a in (0, 1)])
         begun = np.array([(self.start & (y[:, 0] == a)).sum() for a in (0, 1)])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
+        # pages of one kind of line are the most, so what follows what is held back more than what a line shows
+        penalties = np.array([penalty] * dims + [STEADY * penalty] * 6)
         for step in range(1, steps + 1):
             node, joint = self.marginals(theta)
             grad = np.concatenate([own - np.einsum("nt,ntd->d", node[:, :, 1], self.x), (seen - joint).ravel(), begun - node[self.start, 0].sum(0)])
-            grad = grad / n - penalty * theta
+            grad = grad / n - penalties * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return theta
@@ -193,7 +202,7 @@ def chains_of(page: Page) -> list[tuple[bool, np.ndarray, np.ndarray]]:
     return [(i == 0, np.array(page.sizes[i : i + CHAIN], float), np.array(page.features[i : i + CHAIN], float)) for i in cuts]
 
 
-def fit(chains: list[Chain], rounds: int = 3, steps: int = 60, rate: float = 0.1, penalty: float = 1e-2) -> Crf:
+def fit(chains: list[Chain], rounds: int = 3, steps: int = 80, rate: float = 0.1, penalty: float = 1e-3) -> Crf:
     """A field learnt from pages of which only the whole is labelled.
 
     The lines' labels are latent: from the default weights on, each round marks the lines as the field so far

@@ -1,12 +1,12 @@
 """Repeated passages: paragraph MinHash banding, exact verification, removal by components.
 
 Paragraphs are the lines of a text, and, as passages also stand inside longer lines, windows of PARAGRAPH
-words that begin at content-chosen places. The places are the minima of a hash over every run of RUN
-neighbouring starts, so that two texts choose the same places inside a passage that they share: of any
-verbatim run of PARAGRAPH + RUN - 1 = 30 words or more at least one window is in both. Near copies of a
-passage inside longer lines are found by the windows of the verbatim runs between their changes: c changed
-words leave five-word shingles at 0.8 Jaccard only from 45 c + 4 words on, so that the longest run between
-them has 30 words at least, unless c is 1 and the passage is shorter than 60 words.
+words. A window begins at the MinHash of a run of RUN neighbouring shingles, so that two texts choose the same
+places inside a passage that they share: of any verbatim run of PARAGRAPH + RUN - 1 = 30 words or more at least
+one window is in both, and it is their common key: copies agree in all minima. Near copies of a passage inside
+longer lines are found by the windows of the verbatim runs between their changes: c changed words leave
+five-word shingles at 0.8 Jaccard only from 45 c + 4 words on, so that the longest run between them has 30
+words at least, unless c is 1 and the passage is shorter than 60 words.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textlake.llm.components import connected
 from textlake.llm.runtime import drop_extra, materialize
@@ -31,15 +33,19 @@ RUN = 5
 SHINGLE = 5
 #: BANDS bands of ROWS minima: two paragraphs at similarity 0.8 meet in a band with probability 0.993.
 BANDS, ROWS = 7, 3
-#: Members of a bucket that are compared as one group; larger buckets are divided, none is cut.
+#: Lines, and shingles of lines, of a bucket that are compared as one group; larger buckets are divided, none is cut.
 TOGETHER = 256
+SHINGLES_TOGETHER = 1 << 20
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _POWERS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PARTS = [*range(0, PARAGRAPH - SHINGLE, SHINGLE), PARAGRAPH - SHINGLE]
-_PART_POWERS = _rng.integers(1, 1 << 63, len(_PARTS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PART_POWERS = _rng.integers(1, 1 << 63, (2, len(_PARTS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_ROWS = [list(range(b * ROWS, (b + 1) * ROWS)) for b in range(BANDS)]
+#: Keys of two neighbouring minima: two lines at similarity 0.8 have none in common with probability below 1e-6.
+_FINER_ROWS = [[i, i + 1] for i in range(BANDS * ROWS - 1)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,11 +62,14 @@ def _places(keys: np.ndarray, run: int) -> np.ndarray:
     return np.unique(view.argmin(axis=1) + np.arange(len(view)))
 
 
-def paragraphs(text: str | None) -> tuple[list[int], list[int], list[int], list[np.ndarray | None]]:
-    """First word, words, hash and, of lines only, the shingle set of each paragraph of ``text``."""
-    starts, sizes, hashes, sets = [], [], [], []
+_NONE = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), [])
+
+
+def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, np.ndarray]]]:
+    """First word, hash and second, shorter hash of each window of ``text``; and its lines of PARAGRAPH words or
+    more: first word, words, hash, shingle set."""
     if not text:
-        return starts, sizes, hashes, sets
+        return _NONE
     words: list[bytes] = []
     lines: list[tuple[int, int]] = []
     for line in text.encode("utf-8", "replace").lower().split(b"\n"):
@@ -70,36 +79,29 @@ def paragraphs(text: str | None) -> tuple[list[int], list[int], list[int], list[
         words += own
     n = len(words)
     if n < PARAGRAPH:
-        return starts, sizes, hashes, sets
+        return _NONE
     digest = xxhash.xxh3_64_intdigest
-    w = np.array([digest(x) for x in words], np.uint64)
+    w = np.fromiter(map(digest, words), np.uint64, n)
     grams = n - SHINGLE + 1
     h = w[:grams] * _POWERS[0]
     for j in range(1, SHINGLE):
         h = h + w[j : j + grams] * _POWERS[j]
     h = _mix(h)
-    whole = n - PARAGRAPH + 1
-    at = _places(h[:whole], RUN)
-    window = np.zeros(len(at), np.uint64)
-    for part, power in zip(_PARTS, _PART_POWERS):
-        window = window + h[at + part] * power
-    window = _mix(window)
-    starts += at.tolist()
-    sizes += [PARAGRAPH] * len(window)
-    hashes += window.view(np.int64).tolist()
-    sets += [None] * len(window)
+    at = _places(h[: n - PARAGRAPH + 1], RUN)
+    hashes = [np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)]
+    for part, powers in zip(_PARTS, _PART_POWERS.T):
+        mine = h[at + part]
+        hashes = [x + mine * p for x, p in zip(hashes, powers)]
+    first, second = _mix(hashes[0]).view(np.int64), (_mix(hashes[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    found = []
     for start, size in lines:
-        starts.append(start)
-        sizes.append(size)
-        hashes.append(int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words[start : start + size])), "big", signed=True))
-        sets.append(np.unique((h[start : start + size - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-    return starts, sizes, hashes, sets
+        own = int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words[start : start + size])), "big", signed=True)
+        found.append((start, size, own, np.unique(h[start : start + size - SHINGLE + 1])))
+    return at.astype(np.int32), first, second, found
 
 
-def minima(sets: pa.ListArray) -> np.ndarray:
-    """(paragraphs, BANDS * ROWS) MinHash values; sets are not empty."""
-    flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
-    lengths = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+def minima(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(paragraphs, BANDS * ROWS) MinHash values of sets that lie end to end; none is empty."""
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     return np.stack([np.minimum.reduceat(_mix(flat * a + b), first) for a, b in zip(_MULTIPLY, _ADD)], axis=1)
 
@@ -115,6 +117,11 @@ def _keys(values: np.ndarray, groups: list[list[int]], salt: np.ndarray | None =
     return out
 
 
+def _similar(a: frozenset, b: frozenset, similarity: float) -> bool:
+    both = len(a & b)
+    return both >= similarity * (len(a) + len(b) - both)
+
+
 def _forest(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of at least ``similarity`` exact Jaccard, comparing all not yet joined."""
     root = list(range(len(sets)))
@@ -131,11 +138,9 @@ def _forest(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
         for j in order[x + 1 :]:
             if similarity * len(sets[j]) > len(sets[i]):
                 break
-            if find(i) != find(j):
-                both = len(sets[i] & sets[j])
-                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
-                    root[find(i)] = find(j)
-                    out.append((i, j))
+            if find(i) != find(j) and _similar(sets[i], sets[j], similarity):
+                root[find(i)] = find(j)
+                out.append((i, j))
     return out
 
 
@@ -144,111 +149,195 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for hashes, sets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, j in _forest([frozenset(s) for s in sets], similarity):
-                    a.append(hashes[i])
-                    b.append(hashes[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    packed = groups.groupBy("key").agg(F.collect_list(F.struct("h", "s")).alias("m"))
+            for at in range(len(batch)):
+                hashes, sets = batch.column(0)[at].as_py(), [frozenset(s.values.to_numpy().tolist()) for s in batch.column(1)[at]]
+                pairs = _forest(sets, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([hashes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    packed = groups.groupBy("key").agg(F.collect_list(F.struct("h", "s")).alias("m")).where(F.size("m") > 1)
     return packed.select(F.col("m.h").alias("hs"), F.col("m.s").alias("ss")).mapInArrow(run, "a long, b long")
 
 
 def _counted(members: DataFrame) -> DataFrame:
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("key", "_key")
+    """(key, h, m) with the lines ``c`` and shingles ``t`` of their bucket, where it has several lines."""
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("t"), F.min("h").alias("pivot")).where("c > 1")
+    counts = counts.withColumnRenamed("key", "_key")
     return members.join(counts, F.col("key") == F.col("_key")).drop("_key")
 
 
-def line_links(lines: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between the hashes of different lines (h, s: shingle set) of at least ``similarity``.
+def _fits() -> Column:
+    return (F.col("c") <= TOGETHER) & ((F.col("t") <= SHINGLES_TOGETHER) | (F.col("c") == 2))
 
-    A band's bucket of at most TOGETHER different lines is compared whole. A larger one is divided by nine
-    more keys, each of two of the minima, of which two similar lines share one with probability 0.9999; what
-    is still larger is compared block by block against itself. Nothing is left out, no group is unbounded.
-    """
-    bands = [list(range(b * ROWS, (b + 1) * ROWS)) for b in range(BANDS)]
-    finer = [[2 * i, 2 * i + 1] for i in range(BANDS * ROWS // 2 - 1)]
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _huge_links(huge: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of buckets (key, h, s, c, t, pivot) of any size. All lines are held against their bucket's pivot first:
+    those similar to it are joined by it, so among themselves they need no comparison. Only the others are
+    compared, block by block, with all blocks."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                keys = _keys(minima(batch.column(1)), bands)
-                h = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h, pa.int64())], ["key", "h"])
+            yes = [_similar(frozenset(a.values.to_numpy().tolist()), frozenset(b.values.to_numpy().tolist()), similarity) for a, b in zip(batch.column(2), batch.column(5))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(yes, pa.bool_())], ["key", "h", "s", "n", "pivot", "near"])
+
+    blocks = F.ceil(F.greatest(F.col("c") / TOGETHER, F.col("t") / SHINGLES_TOGETHER)).cast("long")
+    pivots = huge.where("h = pivot").select(F.col("key").alias("_key"), F.col("s").alias("ps"))
+    beside = huge.join(pivots, F.col("key") == F.col("_key")).select("key", "h", "s", blocks.alias("n"), "pivot", "ps")
+    held = materialize(beside.mapInArrow(near, "key long, h long, s array<long>, n long, pivot long, near boolean"))
+    out = held.where("near AND h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b"))
+    far = held.where("NOT near")
+    if not far.limit(1).count():
+        return out
+    # a block of far lines meets each block of its bucket: far ones once for each pair of blocks, near ones as they are
+    own = held.withColumn("own", F.pmod(F.xxhash64("h"), F.col("n")))
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    tasks = far.select("key", F.pmod(F.xxhash64("h"), F.col("n")).alias("f"), "n").distinct().select(F.col("key").alias("_key"), "f", F.explode(numbers).alias("o"))
+    meets = (F.col("key") == F.col("_key")) & (((F.col("f") == F.col("own")) & ~F.col("near")) | (F.col("o") == F.col("own")))
+    met = own.join(tasks, meets).select(F.xxhash64("key", "f", "o").alias("key"), "h", "s")
+    return out.unionByName(_verify(met, similarity))
+
+
+def line_links(lines: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the hashes of different lines (h, s: shingle set, k: band keys) of at least ``similarity``.
+
+    A band's bucket of bounded lines and shingles is compared whole. A larger one is divided by twenty more keys,
+    each of two neighbouring minima, of which two similar lines share one but for a chance below 1e-6; what is
+    still larger is held against a pivot, and only lines far from it are compared block by block. Nothing is
+    left out, no group is unbounded.
+    """
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
                 salt = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                keys = _keys(minima(part.column(2)), finer, salt)
-                rows = pa.array(np.repeat(np.arange(len(part)), len(finer)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(1).take(rows), part.column(2).take(rows)], ["key", "h", "s"])
+                sets = part.column(2)
+                keys = _keys(minima(sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sets.value_lengths().to_numpy(zero_copy_only=False)), _FINER_ROWS, salt)
+                h = np.repeat(part.column(1).to_numpy(zero_copy_only=False), len(_FINER_ROWS))
+                m = np.repeat(sets.value_lengths().to_numpy(zero_copy_only=False), len(_FINER_ROWS)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h, pa.int64()), pa.array(m)], ["key", "h", "m"])
 
-    keyed = lines.select("h", "s").mapInArrow(band, "key long, h long")
+    keyed = lines.select("h", F.size("s").alias("m"), F.explode("k").alias("key"))
     several = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"))
-    members = materialize(_counted(keyed.join(several, F.col("key") == F.col("_key")).drop("_key").distinct()))
+    members = materialize(_counted(keyed.join(several, F.col("key") == F.col("_key")).select("key", "h", "m").distinct()))
     wanted = members.select(F.col("h").alias("_h")).distinct()
-    # copies of a line have equal sets: any one serves, and each task sends one of a line, however many it has
-    sets = materialize(lines.groupBy("h").agg(F.first("s").alias("s")).join(wanted, F.col("h") == F.col("_h"), "left_semi"))
+    # copies of a line have equal sets: any one serves
+    sets = materialize(lines.select("h", "s").join(wanted, F.col("h") == F.col("_h"), "left_semi").groupBy("h").agg(F.first("s").alias("s")))
     sets = sets.withColumnRenamed("h", "_h")
     full = lambda m: m.join(sets, F.col("h") == F.col("_h")).drop("_h")
-    out = _verify(full(members.where(F.col("c") <= TOGETHER)).drop("c"), similarity)
-    large = members.where(F.col("c") > TOGETHER)
+    out = _verify(full(members.where(_fits())), similarity)
+    large = members.where(~_fits())
     if large.limit(1).count():
-        parts = materialize(_counted(full(large).drop("c").mapInArrow(divide, "key long, h long, s array<int>").distinct()))
-        out = out.unionByName(_verify(parts.where(F.col("c") <= TOGETHER).drop("c"), similarity))
-        huge = parts.where(F.col("c") > TOGETHER).withColumn("n", F.ceil(F.col("c") / TOGETHER).cast("long"))
-        mine = huge.withColumn("own", F.pmod(F.xxhash64("h"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        blocks = mine.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "h", "s")
-        out = out.unionByName(_verify(blocks, similarity))
+        parts = materialize(_counted(full(large.select("key", "h")).mapInArrow(divide, "key long, h long, m int").distinct()))
+        out = out.unionByName(_verify(full(parts.where(_fits())), similarity))
+        huge = parts.where(~_fits())
+        if huge.limit(1).count():
+            out = out.unionByName(_huge_links(materialize(full(huge)), similarity))
     return out
 
 
-def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shared, n_removed, passages for every document that shares a paragraph with another one.
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    flat = np.concatenate(values) if values else np.zeros(0, kind.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind.to_pandas_dtype(), copy=False)))
 
-    passages: (start_word, n_words, cluster, removed) in text order. A cluster is a component of paragraphs
-    with equal words or, for lines, at least ``similarity`` exact Jaccard over five-word shingles; its copies
-    in the smallest doc_id stay, the others are removed, at every place where a document has them. Paragraphs have PARAGRAPH words at least, so common
-    short lines don't count. Case is folded.
 
-    Null, empty or shorter texts: no row. A passage repeated inside one document only: no row. Repeated rows
-    of one doc_id count as one document. Null ids count as one document, after the others. Empty table: no rows.
-    """
+def _read(docs: DataFrame) -> DataFrame:
+    """A row for each text with paragraphs: doc_id, text_hash, its windows' starts, hashes and second hashes, and its
+    lines' starts, sizes, hashes, band keys and shingle sets."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                ids, columns = [], ([], [], [], [])
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    found = paragraphs(text)
-                    ids += [i] * len(found[0])
-                    for column, values in zip(columns, found):
-                        column.extend(values)
-                arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), *arrays], ["doc_id", "start", "n", "h", "s"])
-
-    d = drop_extra(docs, "doc_id", "text")
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
+                rows = [(i, *found) for i, found in enumerate(map(paragraphs, part.column(2).to_pylist())) if len(found[0])]
+                lines = [x for row in rows for x in row[4]]
+                per = [len(row[4]) for row in rows]
+                cut = lambda k, dtype: np.split(np.array([x[k] for x in lines], dtype), np.cumsum(per)[:-1]) if rows else []
+                own = [x[3] for x in lines]
+                keys = _keys(minima(np.concatenate(own), np.array(list(map(len, own)))), _BAND_ROWS).view(np.int64) if own else np.zeros((0, BANDS), np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
+                chosen = pa.array([row[0] for row in rows], pa.int64())
+                arrays = [
+                    part.column(0).take(chosen), part.column(1).take(chosen), _lists([row[1] for row in rows], pa.int32()), _lists([row[2] for row in rows], pa.int64()),
+                    _lists([row[3] for row in rows], pa.int32()), _lists(cut(0, np.int32), pa.int32()), _lists(cut(1, np.int32), pa.int32()), _lists(cut(2, np.int64), pa.int64()),
+                    pa.ListArray.from_arrays(offsets, _lists(list(keys), pa.int64())),
+                    pa.ListArray.from_arrays(offsets, _lists([x.view(np.int64) for x in own], pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "ws", "wh", "wc", "ls", "ln", "lh", "lk", "lset"])
+
+    d = drop_extra(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = d.schema["doc_id"].dataType.simpleString()
-    found = materialize(d.mapInArrow(read, f"doc_id {kind}, start int, n int, h long, s array<int>"))
-    star = connected(line_links(found.where("s IS NOT NULL"), similarity))
+    shape = f"doc_id {kind}, text_hash long, ws array<int>, wh array<long>, wc array<int>, ls array<int>, ln array<int>, lh array<long>, lk array<array<long>>, lset array<array<long>>"
+    return d.mapInArrow(run, shape)
+
+
+def _several(rows: DataFrame, *cluster: str) -> DataFrame:
+    """The clusters that stand in several documents, with the document whose copies stay. Nulls last: a null id
+    stays only where there is no other."""
+    ends = rows.groupBy(*cluster).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
+    ends = ends.where("first <> last OR (nameless AND first IS NOT NULL)")
+    return ends.select(*[F.col(c).alias(f"_{c}") for c in cluster], "first")
+
+
+def _shared(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, text_hash, passages for every text that shares a paragraph with another document."""
+    found = materialize(_read(docs))
+    line = lambda *names: found.select("doc_id", "text_hash", F.explode(F.arrays_zip(*[F.col(n) for n in names])).alias("x"))
+    lines = line("lh", "lk", "lset").select(F.col("x.lh").alias("h"), F.col("x.lk").alias("k"), F.col("x.lset").alias("s"))
+    star = connected(line_links(lines, similarity))
     star = star.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    # only lines have links between different hashes: windows are their own clusters. Nearly all stand once, and
-    # only a count of their hashes is dealt out for those
-    place = ["doc_id", "start", "n"]
-    windows = found.where("s IS NULL").select(*place, F.col("h").alias("cluster"))
-    several = materialize(windows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("cluster").alias("_c")))
-    windows = windows.join(several, F.col("cluster") == F.col("_c"), "left_semi")
-    lines = found.where("s IS NOT NULL").select(*place, "h").join(star, F.col("h") == F.col("_u"), "left").select(*place, F.coalesce("_v", "h").alias("cluster"))
-    rows = windows.unionByName(lines)
-    # nulls last: a null id never is the document that stays unless all are null
-    ends = rows.groupBy("cluster").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
-    ends = ends.where("first <> last OR (nameless AND first IS NOT NULL)").select(F.col("cluster").alias("_cluster"), "first")
-    shared = rows.join(ends, F.col("cluster") == F.col("_cluster"))
+    own = line("ls", "ln", "lh").select("doc_id", "text_hash", F.col("x.ls").alias("start"), F.col("x.ln").alias("n"), F.col("x.lh").alias("h"))
+    own = own.join(star, F.col("h") == F.col("_u"), "left").select("doc_id", "text_hash", "start", "n", F.coalesce("_v", "h").alias("cluster"))
+    ends = materialize(_several(own, "cluster"))
+    own = own.join(ends, F.col("cluster") == F.col("_cluster")).select("doc_id", "text_hash", "start", "n", "cluster", "first")
+    # windows are one paragraph where both hashes, 96 bits, agree: over 5e12 windows (100 TB) 2e-4 pairs may by chance
+    windows = line("ws", "wh", "wc").select("doc_id", "text_hash", F.col("x.ws").alias("start"), F.col("x.wh").alias("h"), F.col("x.wc").alias("c"))
+    ends = materialize(_several(windows, "h", "c"))
+    windows = windows.join(ends, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).select("doc_id", "text_hash", "start", F.lit(PARAGRAPH).alias("n"), F.col("h").alias("cluster"), "first")
+    rows = windows.unionByName(own)
     passage = F.struct(F.col("start").alias("start_word"), F.col("n").alias("n_words"), "cluster", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("removed"))
-    return shared.groupBy("doc_id").agg(F.sort_array(F.collect_set(passage)).alias("passages")).select(
-        "doc_id", F.size("passages").cast("long").alias("n_shared"), F.size(F.filter("passages", lambda p: p["removed"])).cast("long").alias("n_removed"), "passages"
-    )
+    return rows.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(passage)).alias("passages"))
+
+
+def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id, n_shared, n_removed, passages for every text that shares a paragraph with another document.
+
+    passages: (start_word, n_words, cluster, removed) in text order. A cluster is a component of paragraphs
+    with equal words or, for lines, at least ``similarity`` exact Jaccard over five-word shingles; its copies
+    in the smallest doc_id stay, the others are removed, at every place where a document has them. Paragraphs
+    have PARAGRAPH words at least, so common short lines don't count. Case is folded.
+
+    Null, empty or shorter texts: no row. A passage repeated inside one document only: no row. Rows of one doc_id
+    are one document: equal ones give one row, different texts a row each. Null ids count as one document,
+    after the others. Empty table: no rows. Extra columns of any name are left alone.
+    """
+    shared = _shared(docs, similarity)
+    return shared.select("doc_id", F.size("passages").cast("long").alias("n_shared"), F.size(F.filter("passages", lambda p: p["removed"])).cast("long").alias("n_removed"), "passages")
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
+    def cut(text: str | None, starts: np.ndarray | None, sizes: np.ndarray | None) -> str | None:
+        if text is None or starts is None or not len(starts):
+            return text
+        data = text.encode("utf-8", "replace")
+        spans = [m.span() for m in WORD.finditer(data)]
+        kept, at = [], 0
+        for start, n in sorted(zip(starts, sizes)):
+            kept.append(data[at : max(at, spans[start][0])])
+            at = max(at, spans[start + n][0] if start + n < len(spans) else len(data))
+        return b"".join([*kept, data[at:]]).decode("utf-8", "replace")
+
+    return pd.Series([cut(*x) for x in zip(texts, starts, sizes)], dtype=object)
+
+
+def without_repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """All rows of ``docs``, all columns as they were, ``text`` without the passages that ``repeated_passages``
+    marks as removed. A text that is all repeated becomes empty; null and empty texts, rows without repeats,
+    ties, null ids and an empty table as there. Extra columns may have any names.
+    """
+    gone = _shared(docs, similarity).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.filter("passages", lambda p: p["removed"]).alias("_gone"))
+    gone = materialize(gone.where(F.size("_gone") > 0))
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("hash"))
+    met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    return met.withColumn("row", F.col("row").withField("text", _without("row.text", "_gone.start_word", "_gone.n_words"))).select("row.*")
