@@ -320,13 +320,13 @@ def test_lines_of_one_page_differ(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     crf = line_quality.fit_on(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
     rng = random.Random(7)
-    good = [" ".join(rng.choice(["the", "a", "red", "small"]) + rng.choice("aeiou") * rng.randrange(3) + str(k) for k in range(20)) + "." for _ in range(60)]
-    junk = [" | ".join(words(rng, 1) for _ in range(20)) for _ in range(60)]
+    good = [words(rng, 20) + "." for _ in range(60)]
+    junk = [" | ".join(words(rng, 20).split()) for _ in range(60)]
     for n_good, n_junk in ((5, 1), (4, 2), (3, 3), (2, 4)):
         lines, kinds = [], []
-        for _ in range(3):  # runs of each kind, as headers, bodies and footers are
+        for k in range(3):  # runs of each kind, as headers, bodies and footers are
             for pool, n, kind in ((good, n_good, 0), (junk, n_junk, 1)):
-                lines += rng.sample(pool, n)
+                lines += pool[k * n : k * n + n]
                 kinds += [kind] * n
         p = line_quality.read("\n".join(lines))
         assert line_quality.viterbi(crf, p.features) == kinds
