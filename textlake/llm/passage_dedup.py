@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textlake.llm.components import connected
-from textlake.llm.runtime import drop_extra, materialize
+from textlake.llm.runtime import discard, drop_extra, materialize, numbered
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words of a window, and of a line at least, to count as a paragraph.
@@ -36,6 +36,8 @@ BANDS, ROWS = 7, 3
 #: Lines, and shingles of lines, of a bucket that are compared as one group; larger buckets are divided, none is cut.
 TOGETHER = 256
 SHINGLES_TOGETHER = 1 << 20
+#: Bytes of a shingle's hash in a set: two lines of a and b shingles have a * b / 2**40 in common by chance.
+BYTES = 5
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,42 +64,58 @@ def _places(keys: np.ndarray, run: int) -> np.ndarray:
     return np.unique(view.argmin(axis=1) + np.arange(len(view)))
 
 
-_NONE = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), [])
-
-
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, np.ndarray]]]:
-    """First word, hash and second, shorter hash of each window of ``text``; and its lines of PARAGRAPH words or
-    more: first word, words, hash, shingle set."""
-    if not text:
-        return _NONE
+def _shingles(text: str | None) -> tuple[list[bytes], list[tuple[int, int]], np.ndarray]:
+    """The words of ``text``, first word and words of its lines of PARAGRAPH words or more, and the hashes of its
+    shingles; all empty where it is shorter than a paragraph."""
     words: list[bytes] = []
     lines: list[tuple[int, int]] = []
-    for line in text.encode("utf-8", "replace").lower().split(b"\n"):
+    for line in text.encode("utf-8", "replace").lower().split(b"\n") if text else ():
         own = WORD.findall(line)
         if len(own) >= PARAGRAPH:
             lines.append((len(words), len(own)))
         words += own
     n = len(words)
     if n < PARAGRAPH:
-        return _NONE
-    digest = xxhash.xxh3_64_intdigest
-    w = np.fromiter(map(digest, words), np.uint64, n)
+        return [], [], np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     grams = n - SHINGLE + 1
     h = w[:grams] * _POWERS[0]
     for j in range(1, SHINGLE):
         h = h + w[j : j + grams] * _POWERS[j]
-    h = _mix(h)
-    at = _places(h[: n - PARAGRAPH + 1], RUN)
+    return words, lines, _mix(h)
+
+
+def windows_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, hash and second, shorter hash of each window of a text whose shingles hash to ``h``."""
+    at = _places(h[: len(h) + SHINGLE - PARAGRAPH], RUN)
     hashes = [np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)]
     for part, powers in zip(_PARTS, _PART_POWERS.T):
         mine = h[at + part]
         hashes = [x + mine * p for x, p in zip(hashes, powers)]
-    first, second = _mix(hashes[0]).view(np.int64), (_mix(hashes[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    found = []
+    return at.astype(np.int32), _mix(hashes[0]).view(np.int64), (_mix(hashes[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def lines_of(words: list[bytes], lines: list[tuple[int, int]], h: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
+    """First word, words, hash and shingle set of each line."""
+    out = []
     for start, size in lines:
         own = int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words[start : start + size])), "big", signed=True)
-        found.append((start, size, own, np.unique(h[start : start + size - SHINGLE + 1])))
-    return at.astype(np.int32), first, second, found
+        out.append((start, size, own, np.unique(h[start : start + size - SHINGLE + 1] >> np.uint64(64 - 8 * BYTES))))
+    return out
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    return shingles.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(sets: bytes) -> np.ndarray:
+    out = np.zeros((len(sets) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(sets, np.uint8).reshape(-1, BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def _set(value: pa.BinaryScalar) -> frozenset:
+    return frozenset(unpacked(value.as_py()).tolist())
 
 
 def minima(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -150,7 +168,7 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
-                hashes, sets = batch.column(0)[at].as_py(), [frozenset(s.values.to_numpy().tolist()) for s in batch.column(1)[at]]
+                hashes, sets = batch.column(0)[at].as_py(), [_set(s) for s in batch.column(1)[at]]
                 pairs = _forest(sets, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array([hashes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -176,13 +194,13 @@ def _huge_links(huge: DataFrame, similarity: float) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes = [_similar(frozenset(a.values.to_numpy().tolist()), frozenset(b.values.to_numpy().tolist()), similarity) for a, b in zip(batch.column(2), batch.column(5))]
+            yes = [_similar(_set(a), _set(b), similarity) for a, b in zip(batch.column(2), batch.column(5))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(yes, pa.bool_())], ["key", "h", "s", "n", "pivot", "near"])
 
     blocks = F.ceil(F.greatest(F.col("c") / TOGETHER, F.col("t") / SHINGLES_TOGETHER)).cast("long")
     pivots = huge.where("h = pivot").select(F.col("key").alias("_key"), F.col("s").alias("ps"))
     beside = huge.join(pivots, F.col("key") == F.col("_key")).select("key", "h", "s", blocks.alias("n"), "pivot", "ps")
-    held = materialize(beside.mapInArrow(near, "key long, h long, s array<long>, n long, pivot long, near boolean"))
+    held = materialize(beside.mapInArrow(near, "key long, h long, s binary, n long, pivot long, near boolean"))
     out = held.where("near AND h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b"))
     far = held.where("NOT near")
     if not far.limit(1).count():
@@ -196,8 +214,9 @@ def _huge_links(huge: DataFrame, similarity: float) -> DataFrame:
     return out.unionByName(_verify(met, similarity))
 
 
-def line_links(lines: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between the hashes of different lines (h, s: shingle set, k: band keys) of at least ``similarity``.
+def line_links(lines: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b), and the tables that they are read from: links between the hashes of different lines of at least
+    ``similarity``. ``lines``: (h, n: words, k: band keys); ``sets``: (h, s: packed shingle set), copies don't matter.
 
     A band's bucket of bounded lines and shingles is compared whole. A larger one is divided by twenty more keys,
     each of two neighbouring minima, of which two similar lines share one but for a chance below 1e-6; what is
@@ -210,29 +229,39 @@ def line_links(lines: DataFrame, similarity: float) -> DataFrame:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
                 salt = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                sets = part.column(2)
-                keys = _keys(minima(sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sets.value_lengths().to_numpy(zero_copy_only=False)), _FINER_ROWS, salt)
+                sets = [unpacked(x.as_py()) for x in part.column(2)]
+                sizes = np.array(list(map(len, sets)), np.int32)
+                keys = _keys(minima(np.concatenate(sets), sizes), _FINER_ROWS, salt)
                 h = np.repeat(part.column(1).to_numpy(zero_copy_only=False), len(_FINER_ROWS))
-                m = np.repeat(sets.value_lengths().to_numpy(zero_copy_only=False), len(_FINER_ROWS)).astype(np.int32)
+                m = np.repeat(sizes, len(_FINER_ROWS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h, pa.int64()), pa.array(m)], ["key", "h", "m"])
 
-    keyed = lines.select("h", F.size("s").alias("m"), F.explode("k").alias("key"))
+    keyed = lines.select("h", F.col("n").alias("m"), F.explode("k").alias("key"))
     several = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"))
     members = materialize(_counted(keyed.join(several, F.col("key") == F.col("_key")).select("key", "h", "m").distinct()))
     wanted = members.select(F.col("h").alias("_h")).distinct()
     # copies of a line have equal sets: any one serves
-    sets = materialize(lines.select("h", "s").join(wanted, F.col("h") == F.col("_h"), "left_semi").groupBy("h").agg(F.first("s").alias("s")))
-    sets = sets.withColumnRenamed("h", "_h")
-    full = lambda m: m.join(sets, F.col("h") == F.col("_h")).drop("_h")
-    out = _verify(full(members.where(_fits())), similarity)
+    sets = materialize(sets.join(wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"]))
+    full = lambda m: m.join(sets.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).drop("_h")
+    out, written = _verify(full(members.where(_fits())), similarity), [members, sets]
     large = members.where(~_fits())
     if large.limit(1).count():
         parts = materialize(_counted(full(large.select("key", "h")).mapInArrow(divide, "key long, h long, m int").distinct()))
         out = out.unionByName(_verify(full(parts.where(_fits())), similarity))
         huge = parts.where(~_fits())
+        written.append(parts)
         if huge.limit(1).count():
-            out = out.unionByName(_huge_links(materialize(full(huge)), similarity))
-    return out
+            written.append(materialize(full(huge)))
+            out = out.unionByName(_huge_links(written[-1], similarity))
+    return out, written
+
+
+def line_components(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of the lines' components; what it took to find them is gone afterwards."""
+    links, written = line_links(lines, sets, similarity)
+    star = connected(links)
+    discard(*written, sweep=True)
+    return star
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -242,76 +271,92 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """A row for each text with paragraphs: doc_id, text_hash, its windows' starts, hashes and second hashes, and its
-    lines' starts, sizes, hashes, band keys and shingle sets."""
+    """A row for each text of ``docs`` (doc_id, row, text) with paragraphs: doc_id, row, its windows' starts, hashes
+    and second hashes, and its lines' starts, sizes, hashes and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
-                rows = [(i, *found) for i, found in enumerate(map(paragraphs, part.column(2).to_pylist())) if len(found[0])]
-                lines = [x for row in rows for x in row[4]]
-                per = [len(row[4]) for row in rows]
-                cut = lambda k, dtype: np.split(np.array([x[k] for x in lines], dtype), np.cumsum(per)[:-1]) if rows else []
+                chosen, windows, lines, per = [], [], [], [0]
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    words, cut, h = _shingles(text)
+                    if words:
+                        chosen.append(i)
+                        windows.append(windows_of(h))
+                        lines += lines_of(words, cut, h)
+                        per.append(len(lines))
                 own = [x[3] for x in lines]
                 keys = _keys(minima(np.concatenate(own), np.array(list(map(len, own)))), _BAND_ROWS).view(np.int64) if own else np.zeros((0, BANDS), np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
-                chosen = pa.array([row[0] for row in rows], pa.int64())
+                offsets = pa.array(per, pa.int32())
+                kinds = (pa.int32(), pa.int64(), pa.int32())
                 arrays = [
-                    part.column(0).take(chosen), part.column(1).take(chosen), _lists([row[1] for row in rows], pa.int32()), _lists([row[2] for row in rows], pa.int64()),
-                    _lists([row[3] for row in rows], pa.int32()), _lists(cut(0, np.int32), pa.int32()), _lists(cut(1, np.int32), pa.int32()), _lists(cut(2, np.int64), pa.int64()),
+                    part.column(0).take(pa.array(chosen, pa.int64())), part.column(1).take(pa.array(chosen, pa.int64())),
+                    *[_lists([x[k] for x in windows], kind) for k, kind in enumerate(kinds)],
+                    *[pa.ListArray.from_arrays(offsets, pa.array([x[k] for x in lines], kind)) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))],
                     pa.ListArray.from_arrays(offsets, _lists(list(keys), pa.int64())),
-                    pa.ListArray.from_arrays(offsets, _lists([x.view(np.int64) for x in own], pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "ws", "wh", "wc", "ls", "ln", "lh", "lk", "lset"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "ws", "wh", "wc", "ls", "ln", "lh", "lk"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, ws array<int>, wh array<long>, wc array<int>, ls array<int>, ln array<int>, lh array<long>, lk array<array<long>>")
+
+
+def _line_sets(docs: DataFrame) -> DataFrame:
+    """(h, s) of all lines: read again from the texts where they are wanted, as all of them would be as long as the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 128):
+                lines = [x for text in batch.column(0).slice(at, 128).to_pylist() for x in lines_of(*_shingles(text))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in lines], pa.int64()), pa.array([packed(x[3]) for x in lines], pa.binary())], ["h", "s"])
 
-    d = drop_extra(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    kind = d.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, text_hash long, ws array<int>, wh array<long>, wc array<int>, ls array<int>, ln array<int>, lh array<long>, lk array<array<long>>, lset array<array<long>>"
-    return d.mapInArrow(run, shape)
+    return docs.select("text").mapInArrow(run, "h long, s binary")
 
 
-def _several(rows: DataFrame, *cluster: str) -> DataFrame:
+def _several(rows: DataFrame, cluster: str) -> DataFrame:
     """The clusters that stand in several documents, with the document whose copies stay. Nulls last: a null id
     stays only where there is no other."""
-    ends = rows.groupBy(*cluster).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
-    ends = ends.where("first <> last OR (nameless AND first IS NOT NULL)")
-    return ends.select(*[F.col(c).alias(f"_{c}") for c in cluster], "first")
+    ends = rows.groupBy(cluster).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
+    return ends.where("first <> last OR (nameless AND first IS NOT NULL)").select(F.col(cluster).alias("_cluster"), "first")
 
 
 def _shared(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, text_hash, passages for every text that shares a paragraph with another document."""
+    """doc_id, row, passages for every text of ``docs`` (doc_id, row, text) that shares a paragraph with another document."""
     found = materialize(_read(docs))
-    line = lambda *names: found.select("doc_id", "text_hash", F.explode(F.arrays_zip(*[F.col(n) for n in names])).alias("x"))
-    lines = line("lh", "lk", "lset").select(F.col("x.lh").alias("h"), F.col("x.lk").alias("k"), F.col("x.lset").alias("s"))
-    star = connected(line_links(lines, similarity))
-    star = star.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    own = line("ls", "ln", "lh").select("doc_id", "text_hash", F.col("x.ls").alias("start"), F.col("x.ln").alias("n"), F.col("x.lh").alias("h"))
-    own = own.join(star, F.col("h") == F.col("_u"), "left").select("doc_id", "text_hash", "start", "n", F.coalesce("_v", "h").alias("cluster"))
-    ends = materialize(_several(own, "cluster"))
-    own = own.join(ends, F.col("cluster") == F.col("_cluster")).select("doc_id", "text_hash", "start", "n", "cluster", "first")
-    # windows are one paragraph where both hashes, 96 bits, agree: over 5e12 windows (100 TB) 2e-4 pairs may by chance
-    windows = line("ws", "wh", "wc").select("doc_id", "text_hash", F.col("x.ws").alias("start"), F.col("x.wh").alias("h"), F.col("x.wc").alias("c"))
-    ends = materialize(_several(windows, "h", "c"))
-    windows = windows.join(ends, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).select("doc_id", "text_hash", "start", F.lit(PARAGRAPH).alias("n"), F.col("h").alias("cluster"), "first")
+    each = lambda *names: found.select("doc_id", "row", F.explode(F.arrays_zip(*[F.col(n) for n in names])).alias("x"))
+    lines = each("lh", "ln", "lk").select(F.col("x.lh").alias("h"), F.col("x.ln").alias("n"), F.col("x.lk").alias("k"))
+    star = line_components(lines, _line_sets(docs), similarity).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    own = each("ls", "ln", "lh").select("doc_id", "row", F.col("x.ls").alias("start"), F.col("x.ln").alias("n"), F.col("x.lh").alias("h"))
+    own = own.join(star, F.col("h") == F.col("_u"), "left").select("doc_id", "row", "start", "n", F.coalesce("_v", "h").alias("cluster"))
+    own = own.join(materialize(_several(own, "cluster")), F.col("cluster") == F.col("_cluster")).select("doc_id", "row", "start", "n", "cluster", "first")
+    # windows that share a hash are few; only their places are dealt out, and held together by 96 bits: of the 1e13
+    # windows of 100 TB, 1e-3 pairs may agree by chance
+    alone = found.select("doc_id", F.explode("wh").alias("cluster"))
+    met = materialize(_several(alone, "cluster").select("_cluster"))
+    windows = each("ws", "wh", "wc").select("doc_id", "row", F.col("x.ws").alias("start"), F.col("x.wh").alias("h"), F.col("x.wc").alias("c"))
+    windows = windows.join(met, F.col("h") == F.col("_cluster"), "left_semi")
+    windows = materialize(windows.select("doc_id", "row", "start", F.lit(PARAGRAPH).alias("n"), F.xxhash64("h", "c").alias("cluster")))
+    discard(met, sweep=True)
+    windows = windows.join(_several(windows, "cluster"), F.col("cluster") == F.col("_cluster")).select("doc_id", "row", "start", "n", "cluster", "first")
     rows = windows.unionByName(own)
     passage = F.struct(F.col("start").alias("start_word"), F.col("n").alias("n_words"), "cluster", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("removed"))
-    return rows.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(passage)).alias("passages"))
+    return rows.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(passage)).alias("passages"))
 
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shared, n_removed, passages for every text that shares a paragraph with another document.
+    """doc_id, n_shared, n_removed, passages for every row whose text shares a paragraph with another document.
 
     passages: (start_word, n_words, cluster, removed) in text order. A cluster is a component of paragraphs
-    with equal words or, for lines, at least ``similarity`` exact Jaccard over five-word shingles; its copies
+    with equal words or, for lines, at least ``similarity`` Jaccard over five-word shingles; its copies
     in the smallest doc_id stay, the others are removed, at every place where a document has them. Paragraphs
     have PARAGRAPH words at least, so common short lines don't count. Case is folded.
 
     Null, empty or shorter texts: no row. A passage repeated inside one document only: no row. Rows of one doc_id
-    are one document: equal ones give one row, different texts a row each. Null ids count as one document,
-    after the others. Empty table: no rows. Extra columns of any name are left alone.
+    are one document, each with a row of its own. Null ids count as one document, after the others. Empty table:
+    no rows. Extra columns of any name are left alone.
     """
-    shared = _shared(docs, similarity)
+    shared = _shared(drop_extra(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), similarity)
     return shared.select("doc_id", F.size("passages").cast("long").alias("n_shared"), F.size(F.filter("passages", lambda p: p["removed"])).cast("long").alias("n_removed"), "passages")
 
 
@@ -336,8 +381,8 @@ def without_repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     marks as removed. A text that is all repeated becomes empty; null and empty texts, rows without repeats,
     ties, null ids and an empty table as there. Extra columns may have any names.
     """
-    gone = _shared(docs, similarity).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.filter("passages", lambda p: p["removed"]).alias("_gone"))
-    gone = materialize(gone.where(F.size("_gone") > 0))
-    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("hash"))
-    met = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    rows = numbered(docs)
+    gone = _shared(rows.select("row.doc_id", F.col("n").alias("row"), "row.text"), similarity)
+    gone = materialize(gone.select(F.col("row").alias("_n"), F.filter("passages", lambda p: p["removed"]).alias("_gone")).where(F.size("_gone") > 0))
+    met = rows.join(gone, F.col("n") == F.col("_n"), "left")
     return met.withColumn("row", F.col("row").withField("text", _without("row.text", "_gone.start_word", "_gone.n_words"))).select("row.*")

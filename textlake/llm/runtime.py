@@ -42,14 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``materialize`` wrote and that no later step reads, and has the driver drop the
-    shuffles of finished jobs that nothing refers to any more."""
+def discard(*tables: DataFrame, sweep: bool = False) -> None:
+    """Deletes tables that ``materialize`` wrote and that no later step reads. ``sweep`` has the driver collect
+    what nothing refers to any more, upon which Spark drops the shuffles of finished jobs everywhere."""
     for table in tables:
         spark, path = table.sparkSession, table.textlake_path
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    if tables:
+    if sweep:
         tables[0].sparkSession._jvm.System.gc()
 
 

@@ -185,4 +185,5 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     own = materialize(fingerprints(rows.select(F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), "n").alias("doc_id"), "row.text"), shingle))
     groups = components_of(own)
     stay = materialize(groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("_n")))
-    return rows.join(stay, F.col("n") == F.col("_n"), "left_semi").select("row.*")
+    # the rows to keep grow with the table: one plan at every size, no broadcast where they happen to be few
+    return rows.join(stay.hint("merge"), F.col("n") == F.col("_n"), "left_semi").select("row.*")
