@@ -60,7 +60,7 @@ OPERATORS = {
     "licenses": (license_scan.scan, []),
     "find": (lambda d: decontaminate.find(d, own_items(d)), ["4", "5", "6", "6", "7", "7", "8", "None"]),
     "clean": (lambda d: decontaminate.clean(d, own_items(d)), ["1", "2", "3"]),
-    "passages": (passage_dedup.repeated_passages, ["6", "7"]),
+    "passages": (passage_dedup.repeated_passages, ["6", "6", "7"]),
     "without_repeats": (passage_dedup.without_repeats, ALL),
 }
 
@@ -259,13 +259,51 @@ def test_token_counts(spark):
     assert [counter.count(t) for t in texts] == want
 
 
+def test_every_character_counts_as_in_the_library():
+    """Each code point alone, beside a letter and beside a number."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, counter = Tokenizer.from_file(path), token_count.Counter(path)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3400 or c % 7 == 0 or 0xA000 <= c < 0x20000)]
+    texts = [f"{c} x{c}y ñ{c} 1{c}2 {c.upper()}{c}\u0301" for c in chars]
+    for i in range(0, len(texts), 20000):
+        part = texts[i : i + 20000]
+        want = [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, n in zip(part, want) if counter.count(t) != n] == []
+
+
 def test_chunk_maps_compose(monkeypatch):
     counter = token_count.Counter(queries.tokenizer_path())
-    text = "una frase  con\npalabras, que's cortas y larguísimas " * 40
-    want = counter.count(text)
-    for size in (1, 2, 3, 7, 64, 1000):
-        monkeypatch.setattr(token_count, "CHUNK", size)
-        assert counter.count(text) == want
+    rng = random.Random(8)
+    runs = "".join(rng.choice("abcdeñst") for _ in range(700)) + "!?..'" * 90 + "12345" * 30 + "'s've" + "ü" * 200 + "日本語テキスト" * 30
+    for text in ("una frase  con\npalabras, que's cortas y larguísimas " * 40, runs, f"x {runs}y {runs[300:]}", "'" * 300 + "sabc"):
+        want = counter.count(text)
+        for size in (1, 2, 3, 15, 16, 17, 64, 100, 301, 1000):
+            monkeypatch.setattr(token_count, "CHUNK", size)
+            assert counter.count(text) == want, (text[:20], size)
+        monkeypatch.setattr(token_count, "CHUNK", 1 << 16)
+
+
+def test_long_words_are_cut_inside(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    counter = token_count.Counter(path)
+    rng = random.Random(2)
+    text = "".join(rng.choice("etaoins") for _ in range(30000))
+    monkeypatch.setattr(token_count, "CHUNK", 1 << 10)
+    assert sum(o for _, o in counter.cuts(text)) == 29
+    maps = [counter.chunk_map(text[i : i + 1024], i > 0, i + 1024 < len(text)) for i in range(0, len(text), 1024)]
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = counter.compose(left, m)
+    for m in maps[-2::-1]:
+        right = counter.compose(m, right)
+    assert left.count == right.count == counter.count(text) == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    # an entry state meets the path from the start state soon
+    state, _ = counter.machine.walk(counter.machine.start, b"etaoin")
+    assert maps[3].inside[0].apply(state) == counter.machine.walk(state, text[3072:4096].encode())
 
 
 # ---- quality
@@ -700,16 +738,17 @@ def test_line_links_against_all_pairs(spark, monkeypatch):
             texts.append(" ".join(c))
     rows = []
     for t in set(texts):
-        for _, _, h, grams in passage_dedup.paragraphs(t)[3]:
+        for _, _, h, grams in passage_dedup.lines_of(*passage_dedup._shingles(t)):
             keys = passage_dedup._keys(passage_dedup.minima(grams, np.array([len(grams)])), passage_dedup._BAND_ROWS).view(np.int64)
-            rows.append((h, grams.view(np.int64).tolist(), keys[0].tolist()))
-    lines = spark.createDataFrame(rows, "h long, s array<long>, k array<long>")
-    sets = {h: s for h, s, _ in rows}
+            rows.append((h, len(grams), passage_dedup.packed(grams), keys[0].tolist()))
+            assert passage_dedup.unpacked(rows[-1][2]).tolist() == grams.tolist()
+    table_ = spark.createDataFrame(rows, "h long, n int, s binary, k array<long>")
+    sets = {h: passage_dedup.unpacked(s).tolist() for h, _, s, _ in rows}
     want = brute_components(sets, lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])))
     for together, shingles in ((256, 1 << 20), (3, 1 << 20), (256, 100), (2, 60)):  # the last ones: buckets are divided, and held against pivots
         monkeypatch.setattr(passage_dedup, "TOGETHER", together)
         monkeypatch.setattr(passage_dedup, "SHINGLES_TOGETHER", shingles)
-        star = {r.u: r.v for r in components.connected(passage_dedup.line_links(lines, 0.8)).collect()}
+        star = {r.u: r.v for r in passage_dedup.line_components(table_.drop("s"), table_.select("h", "s"), 0.8).collect()}
         assert {h: star.get(h, h) for h in sets} == want
 
 
@@ -717,13 +756,13 @@ def test_huge_buckets(spark, monkeypatch):
     """A family around a pivot and lines far from it, some of which link to each other or to the family."""
     rng = random.Random(19)
     monkeypatch.setattr(passage_dedup, "TOGETHER", 4)
-    base = [rng.randrange(1 << 40) for _ in range(100)]
-    change = lambda s, n: sorted({*s[n:], *[rng.randrange(1 << 40) for _ in range(n)]})
+    base = [rng.randrange(1 << 39) for _ in range(100)]
+    change = lambda s, n: sorted({*s[n:], *[rng.randrange(1 << 39) for _ in range(n)]})
     family = [change(base, rng.randrange(1, 9)) for _ in range(20)] + [change(base, 14) for _ in range(6)]
     far = [change(base, 60) for _ in range(6)]
     sets = dict(enumerate([*family, *far, *[change(f, 5) for f in far[:3]]]))
-    rows = [(1, h, s, len(sets), sum(map(len, sets.values())), 0) for h, s in sets.items()]
-    links = passage_dedup._huge_links(spark.createDataFrame(rows, "key long, h long, s array<long>, c long, t long, pivot long"), 0.8)
+    rows = [(1, h, passage_dedup.packed(np.array(s, np.uint64)), len(sets), sum(map(len, sets.values())), 0) for h, s in sets.items()]
+    links = passage_dedup._huge_links(spark.createDataFrame(rows, "key long, h long, s binary, c long, t long, pivot long"), 0.8)
     star = {r.u: r.v for r in components.connected(links).collect()}
     similar = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
     assert {h: star.get(h, h) for h in sets} == brute_components(sets, similar)
@@ -754,7 +793,7 @@ def test_content_places_are_shared():
     rng = random.Random(3)
     for _ in range(50):
         p = words(rng, 51)
-        a, b = (passage_dedup.paragraphs(words(rng, rng.randrange(60)) + " " + p + " " + words(rng, rng.randrange(60))) for _ in range(2))
+        a, b = (passage_dedup.windows_of(passage_dedup._shingles(words(rng, rng.randrange(60)) + " " + p + " " + words(rng, rng.randrange(60)))[2]) for _ in range(2))
         assert set(a[1].tolist()) & set(b[1].tolist())
 
 
