@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textlake.llm.components import connected
-from textlake.llm.runtime import discard, drop_extra, materialize, numbered
+from textlake.llm.runtime import discard, drop_extra, materialize, numbered, sweep
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words of a window, and of a line at least, to count as a paragraph.
-PARAGRAPH = 26
+PARAGRAPH = 20
 #: Neighbouring starts of which one at least begins a window.
-RUN = 5
+RUN = 11
 SHINGLE = 5
 #: BANDS bands of ROWS minima: two paragraphs at similarity 0.8 meet in a band with probability 0.993.
 BANDS, ROWS = 7, 3
@@ -260,7 +260,8 @@ def line_components(lines: DataFrame, sets: DataFrame, similarity: float) -> Dat
     """(u, v) of the lines' components; what it took to find them is gone afterwards."""
     links, written = line_links(lines, sets, similarity)
     star = connected(links)
-    discard(*written, sweep=True)
+    discard(*written)
+    sweep(star.sparkSession)
     return star
 
 
@@ -272,7 +273,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 def _read(docs: DataFrame) -> DataFrame:
     """A row for each text of ``docs`` (doc_id, row, text) with paragraphs: doc_id, row, its windows' starts, hashes
-    and second hashes, and its lines' starts, sizes, hashes and band keys."""
+    and second hashes, and its lines' starts, sizes, hashes, band keys and packed shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,24 +295,12 @@ def _read(docs: DataFrame) -> DataFrame:
                     part.column(0).take(pa.array(chosen, pa.int64())), part.column(1).take(pa.array(chosen, pa.int64())),
                     *[_lists([x[k] for x in windows], kind) for k, kind in enumerate(kinds)],
                     *[pa.ListArray.from_arrays(offsets, pa.array([x[k] for x in lines], kind)) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))],
-                    pa.ListArray.from_arrays(offsets, _lists(list(keys), pa.int64())),
+                    pa.ListArray.from_arrays(offsets, _lists(list(keys), pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(list(map(packed, own)), pa.binary())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "ws", "wh", "wc", "ls", "ln", "lh", "lk"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "ws", "wh", "wc", "ls", "ln", "lh", "lk", "lset"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, row long, ws array<int>, wh array<long>, wc array<int>, ls array<int>, ln array<int>, lh array<long>, lk array<array<long>>")
-
-
-def _line_sets(docs: DataFrame) -> DataFrame:
-    """(h, s) of all lines: read again from the texts where they are wanted, as all of them would be as long as the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                lines = [x for text in batch.column(0).slice(at, 128).to_pylist() for x in lines_of(*_shingles(text))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in lines], pa.int64()), pa.array([packed(x[3]) for x in lines], pa.binary())], ["h", "s"])
-
-    return docs.select("text").mapInArrow(run, "h long, s binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, ws array<int>, wh array<long>, wc array<int>, ls array<int>, ln array<int>, lh array<long>, lk array<array<long>>, lset array<binary>")
 
 
 def _several(rows: DataFrame, cluster: str) -> DataFrame:
@@ -326,7 +315,8 @@ def _shared(docs: DataFrame, similarity: float) -> DataFrame:
     found = materialize(_read(docs))
     each = lambda *names: found.select("doc_id", "row", F.explode(F.arrays_zip(*[F.col(n) for n in names])).alias("x"))
     lines = each("lh", "ln", "lk").select(F.col("x.lh").alias("h"), F.col("x.ln").alias("n"), F.col("x.lk").alias("k"))
-    star = line_components(lines, _line_sets(docs), similarity).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    sets = each("lh", "lset").select(F.col("x.lh").alias("h"), F.col("x.lset").alias("s"))
+    star = line_components(lines, sets, similarity).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     own = each("ls", "ln", "lh").select("doc_id", "row", F.col("x.ls").alias("start"), F.col("x.ln").alias("n"), F.col("x.lh").alias("h"))
     own = own.join(star, F.col("h") == F.col("_u"), "left").select("doc_id", "row", "start", "n", F.coalesce("_v", "h").alias("cluster"))
     own = own.join(materialize(_several(own, "cluster")), F.col("cluster") == F.col("_cluster")).select("doc_id", "row", "start", "n", "cluster", "first")
@@ -334,10 +324,12 @@ def _shared(docs: DataFrame, similarity: float) -> DataFrame:
     # windows of 100 TB, 1e-3 pairs may agree by chance
     alone = found.select("doc_id", F.explode("wh").alias("cluster"))
     met = materialize(_several(alone, "cluster").select("_cluster"))
+    sweep(met.sparkSession)
     windows = each("ws", "wh", "wc").select("doc_id", "row", F.col("x.ws").alias("start"), F.col("x.wh").alias("h"), F.col("x.wc").alias("c"))
     windows = windows.join(met, F.col("h") == F.col("_cluster"), "left_semi")
     windows = materialize(windows.select("doc_id", "row", "start", F.lit(PARAGRAPH).alias("n"), F.xxhash64("h", "c").alias("cluster")))
-    discard(met, sweep=True)
+    discard(met)
+    sweep(windows.sparkSession)
     windows = windows.join(_several(windows, "cluster"), F.col("cluster") == F.col("_cluster")).select("doc_id", "row", "start", "n", "cluster", "first")
     rows = windows.unionByName(own)
     passage = F.struct(F.col("start").alias("start_word"), F.col("n").alias("n_words"), "cluster", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("removed"))

@@ -42,15 +42,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame, sweep: bool = False) -> None:
-    """Deletes tables that ``materialize`` wrote and that no later step reads. ``sweep`` has the driver collect
-    what nothing refers to any more, upon which Spark drops the shuffles of finished jobs everywhere."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and that no later step reads."""
     for table in tables:
         spark, path = table.sparkSession, table.textlake_path
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    if sweep:
-        tables[0].sparkSession._jvm.System.gc()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect what nothing refers to any more, upon which Spark drops the shuffles of finished jobs
+    on all executors: between steps that each shuffle about as much as there is input."""
+    spark._jvm.System.gc()
 
 
 def numbered(docs: DataFrame, *more: Column) -> DataFrame:
