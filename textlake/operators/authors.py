@@ -15,8 +15,10 @@ ATTRIBUTIONS = (
     rf"(?m)^({NAME})\s*[-–—]",
     rf"\n\s*({NAME})\s*$",
 )
-VERBS = ("escribió", "escribir", "compuso", "componer", "creó", "crear", "firmó", "firmar", "publicó", "redactó")
-NOUNS = ("autor", "autora", "poeta", "poetisa", "escritor", "escritora", "obra", "libro")
+# Verbs and nouns of authorship
+VERBS = ("escribir", "componer", "crear", "redactar", "firmar", "elaborar", "desarrollar", "producir", "realizar")
+NOUNS = ("autor", "autora", "poeta", "poetisa", "escritor", "escritora", "novelista", "dramaturgo", "ensayista", "cronista")
+# How names of persons look, and words that they don't consist of
 ENDINGS = ("o", "os", "án", "ón", "és", "ez", "iz", "uz", "a", "as", "ía", "ción", "sión", "dad", "tad")
 SURNAMES = ("ez", "az", "iz", "oz", "uz")
 TITLES = ("don", "doña", "fray", "sor", "san", "santa", "santo", "dr", "dra", "prof", "lic", "ing", "arq")
@@ -192,6 +194,30 @@ def literary(docs: DataFrame, key: str, text: str, dictionary: DataFrame) -> Dat
     return hit.groupBy(key, "author").agg(F.least(F.sum("p"), F.lit(1.0)).alias("score"), F.sort_array(F.collect_set("w")).alias("markers"))
 
 
+def literary_match(scored: DataFrame, key: str, title: Column, filename: Column) -> DataFrame:
+    """(key, author, confidence, source): who of ``literary``'s scores is taken: an author whom the title names from
+    a score over 0.3, the file name from over 0.2, else the best score over 0.5."""
+    named = lambda c: F.contains(T.name_key(c), T.name_key(F.col("author")))
+    s = F.col("score")
+    found = F.when(named(title) & (s > 0.3), F.struct(F.lit(3).alias("k"), F.least(F.lit(0.9), 0.7 + s).alias("c"), F.lit("document_title").alias("source")))
+    found = found.when(named(filename) & (s > 0.2), F.struct(F.lit(2).alias("k"), F.least(F.lit(0.85), 0.6 + s).alias("c"), F.lit("filename").alias("source")))
+    found = found.when(s > 0.5, F.struct(F.lit(1).alias("k"), F.least(F.lit(0.8), s).alias("c"), F.lit("text").alias("source")))
+    best = scored.withColumn("_f", found).where("_f IS NOT NULL").groupBy(key).agg(F.max(F.struct("_f.k", "_f.c", "author", "_f.source")).alias("_b"))
+    return best.select(key, F.col("_b.author").alias("author"), F.round("_b.c", 6).alias("confidence"), F.col("_b.source").alias("source"))
+
+
+# Words of a title that go with the modernist style
+MODERNIST = ("dario", "ruben", "antologia", "poemas")
+
+
+def modernism(features: DataFrame, title: Column) -> Column:
+    """0.7 for a text in modernist style (long and varied words, much punctuation) whose title fits, else null.
+    ``features`` are those of ``style``."""
+    f = features
+    fits = (f["word_length"] > 5.5) & (f["diversity"] > 0.6) & (f["punctuation"] > 0.05)
+    return F.when(fits & F.lower(title).rlike("|".join(MODERNIST)), F.lit(0.7))
+
+
 def style(docs: DataFrame, key: str, text: str, function_words: tuple[str, ...] = T.STOP_WORDS) -> DataFrame:
     """Sentence and word length, lexical diversity, shares of function words and punctuation."""
     d = docs.withColumn("_w", F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))

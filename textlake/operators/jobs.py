@@ -37,22 +37,30 @@ def by_extension(files: DataFrame, path: str) -> DataFrame:
     return files.groupBy(F.regexp_extract(path, r"\.[^./]+$", 0).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_keyword(line: Column, kinds: tuple[str, ...], other: str = "other") -> Column:
+# Error types that a log entry may name, the first of them counts, and the name of no file
+ERROR_TYPES = ("NameError", "AttributeError", "TypeError", "FileNotFoundError", "PermissionError", "ValueError", "KeyError", "ImportError")
+NO_FILE = "Desconocido"
+
+
+def first_keyword(entry: Column, kinds: tuple[str, ...], other: str = "other") -> Column:
+    """The first of ``kinds`` that stands in an entry."""
     out = F.lit(other)
     for k in reversed(kinds):
-        out = F.when(F.contains(F.lower(line), F.lit(k)), k).otherwise(out)
+        out = F.when(F.contains(entry, F.lit(k)), k).otherwise(out)
     return out
 
 
-def log_entries(logs: DataFrame, text: str, kinds: tuple[str, ...]) -> DataFrame:
-    """Entries of a log: each begins at a line that starts with a time stamp."""
-    entry = F.explode(F.split(text, r"\n(?=\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})"))
-    e = logs.select(entry.alias("entry"))
+def log_entries(logs: DataFrame, text: str, kinds: tuple[str, ...] = ERROR_TYPES) -> DataFrame:
+    """(ts, file, error_type, message) of a log's entries: each begins at a line that starts with a time stamp and
+    goes on to the next such line; what stands before the first is left out. The file is what ``para`` or ``para
+    archivo`` names in the first line, up to a colon."""
+    stamp = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})"
+    e = logs.select(F.explode(F.split(text, r"\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})")).alias("entry"))
+    e = e.withColumn("entry", F.btrim("entry", F.lit(" \t\n\r\f\x0B"))).where(F.col("entry").rlike(stamp)).withColumn("_first", F.regexp_extract("entry", r"^([^\n]*)", 1))
+    named = F.nullif(F.regexp_extract("_first", r"para (?:archivo )?([^:]+?)(?:\s*:|$)", 1), F.lit(""))
     return e.select(
-        F.try_to_timestamp(F.regexp_extract("entry", r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})", 1)).alias("ts"),
-        F.nullif(F.regexp_extract("entry", r"([\w./-]+\.\w{2,5})", 1), F.lit("")).alias("file"),
-        first_keyword(F.col("entry"), kinds).alias("error_type"),
-        F.regexp_replace("entry", r"^\S+ \S+\s*", "").alias("message"),
+        F.regexp_extract("entry", stamp, 1).alias("ts"), F.coalesce(named, F.lit(NO_FILE)).alias("file"), first_keyword(F.col("entry"), kinds).alias("error_type"),
+        F.regexp_replace("entry", stamp + r"\s*", "").alias("message"),
     )
 
 

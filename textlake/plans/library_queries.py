@@ -163,7 +163,7 @@ def registry_register(t):
     return registry.register(seen, d).select("hash", "file_path")
 
 
-@query("JOI-05 EMB-04 EMB-05 FLT-11 FLT-12", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("JOI-05 EMB-04", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def dedup_anti_join_new(t):
     return t("documents").join(t("labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
@@ -218,12 +218,6 @@ def job_status(t):
     return jobs.latest(t("events"), "user_id", "event_type", "ts", "event_id")
 
 
-@query("STM-04 STM-05", "SELECT error_type, count(*) AS n FROM (SELECT CASE WHEN contains(lower(line), 'wh') THEN 'wh' WHEN contains(lower(line), 'th') THEN 'th' ELSE 'other' END AS error_type FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1")
-def error_log_types(t):
-    lines = t("documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select(jobs.first_keyword(F.col("line"), ("wh", "th")).alias("error_type")).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("STR-16 STR-17")
 def format_sizes(t):
-    return t("documents").select("doc_id", T.format_size(F.col("n_chars")).alias("size"))
+    return t("documents").select("doc_id", T.format_size(F.col("n_chars")).alias("size"), T.format_duration(F.col("n_chars") / 100.0 + 0.001).alias("duration"))

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textlake.plans import restated
+from textlake.sources import files
+
 
 @dataclass(frozen=True)
 class Query:
@@ -17,29 +20,29 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
-#: Tables of long texts, whose rows cost far more to work on than to move.
-TEXTS = ("documents", "pages")
 
+@dataclass(frozen=True)
+class Tables:
+    """``t(name)`` reads a table, ``t.listing()`` the folder that they lie in."""
+
+    spark: SparkSession
+    sf_dir: str
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer scan partitions than there are cores, dealt over all cores; larger tables as they are, so no
-    text is shuffled where the scan is parallel already."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def listing(self) -> DataFrame:
+        return files.listing(self.spark, self.sf_dir)
 
 
 def query(covers: str, sql: str | None = None):
-    """Registers ``f(t)``, where ``t(name)`` reads a table, under the function's name."""
+    """Registers ``f(t)``, where ``t`` are the Tables, under the function's name."""
 
-    def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+    def register(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            def table(name: str) -> DataFrame:
-                df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-                return spread(df) if name in TEXTS else df
-
-            return f(table)
+            return f(Tables(spark, sf_dir))
 
-        QUERIES[f.__name__] = Query(run, covers, sql)
+        QUERIES[f.__name__] = Query(run, covers, sql or restated.SQL.get(f.__name__))
         return f
 
     return register

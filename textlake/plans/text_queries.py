@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.functions import vector as V
-from textlake.operators import authors, clean, profile, reader, rules, search, segment, settings
+from textlake.operators import authors, clean, jobs, profile, reader, rules, search, segment, settings
+from textlake.plans import restated
 from textlake.plans.registry import query
 from textlake.sources import files, sinks
 from textlake.streaming import incremental
@@ -46,11 +50,6 @@ def name_keys(t):
     return t("supplier").select("s_suppkey", T.name_key(F.col("s_name")).alias("name_key"))
 
 
-@query("STR-05 STR-06 STR-07", "SELECT s_suppkey, 'Juan de la Peña' AS name FROM supplier")
-def clean_person_names(t):
-    return t("supplier").select("s_suppkey", T.clean_name(F.lit("  JUAN  DE LA peña, ")).alias("name"))
-
-
 @query("STR-10", "SELECT page_id, left(trim(regexp_replace(regexp_replace(url, '[<>|:*?\"\\\\/\\n\\r]', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 200) AS author FROM pages")
 def author_overrides(t):
     return t("pages").select("page_id", T.author_override(F.col("url")).alias("author"))
@@ -71,11 +70,6 @@ def stored_documents(t):
     return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("STR-08", "SELECT doc_id, '...' || replace(substr(text, 51, 110), chr(10), ' ') || '...' AS context FROM documents WHERE length(text) > 400")
-def text_context(t):
-    return t("documents").where("length(text) > 400").select("doc_id", T.context(F.col("text"), F.lit(100), F.lit(10)).alias("context"))
-
-
 @query("STR-11", "SELECT doc_id, regexp_matches(lang, '^[A-Za-z-]{2,5}$') AS valid FROM documents")
 def language_override(t):
     return t("documents").select("doc_id", T.valid_language(F.col("lang")).alias("valid"))
@@ -91,18 +85,6 @@ def html_paragraphs(t):
     return t("benchmark").select("item_id", T.paragraphs_html(F.col("text")).alias("html"))
 
 
-@query("DAT-01 DAT-02", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
-def publication_dates(t):
-    return t("orders").select("o_orderkey", T.publication_date(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("d"))
-
-
-@query("DAT-02 DAT-03 DAT-04 DAT-05", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y-%m-%d') AS p FROM orders")
-def filename_dates(t):
-    name = F.concat(F.lit("acta_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_v.csv"))
-    other = F.concat(F.lit("nota "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".md"))
-    return t("orders").select("o_orderkey", T.filename_date(name).alias("d"), T.partial_date(other).alias("p"))
-
-
 @query("CLN-01 CLN-14 SNK-06 CLN-16", r"SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g') AS cleaned FROM documents")
 def clean_control_chars(t):
     return t("documents").select("doc_id", clean.control_chars(F.col("text")).alias("cleaned"))
@@ -130,11 +112,6 @@ def insignificant_blocks(t):
     return _lines(t).select("doc_id", "pos", clean.insignificant(F.col("line")).alias("insignificant"))
 
 
-@query("CLN-15 SNK-05", "SELECT doc_id, false AS corrupt FROM documents")
-def extreme_corruption(t):
-    return t("documents").select("doc_id", clean.extremely_corrupt(F.col("text")).alias("corrupt"))
-
-
 @query("MTH-05 SRC-27")
 def corruption_ratio(t):
     c = F.col("text")
@@ -163,11 +140,6 @@ def without_running_heads(t):
     return clean.without_heads(b, clean.running_heads(b, "book", "page", "line", 0.05), "book", "line")
 
 
-@query("CLN-06 AGG-10", f"SELECT doc_id, count(*) AS n, round(avg(CASE WHEN length(line) < 100 THEN 1.0 ELSE 0.0 END), 6) AS short, round(avg(length(line)), 4) AS avg_len FROM ({LINES}) GROUP BY doc_id")
-def ocr_fragmentation(t):
-    return clean.fragmented(_lines(t), "doc_id", "line").select("doc_id", "n", F.round("short", 6).alias("short"), F.round("avg_len", 4).alias("avg_len"))
-
-
 @query("CLN-07 CLN-08 CLN-09 CLN-10 CLN-11 CLN-12 WIN-02 STR-13")
 def merged_lines(t):
     return t("documents").select("doc_id", F.posexplode(clean.merge_lines(F.split("text", "\n"))).alias("pos", "paragraph"))
@@ -208,11 +180,6 @@ def profile_detect(t):
     return profile.classify(profile.line_stats(t("documents"), "text")).select("doc_id", "profile", "confidence")
 
 
-@query("PRO-07 PRO-08")
-def profile_auto(t):
-    return profile.accepted(profile.detect(t("documents"), "text", F.concat(F.col("source"), F.lit("/poema.txt"))), 0.5).select("doc_id", "profile")
-
-
 @query("PRO-04 FLT-20", f"SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '([^/]*)$', 1)), '{profile.VERSE_NAMES}') THEN 'verso' WHEN regexp_matches(lower(regexp_extract(url, '([^/]*)$', 1)), '{profile.PROSE_NAMES}') THEN 'prosa' END AS hint FROM pages")
 def profile_filename(t):
     return t("pages").select("page_id", profile.name_hint(F.col("url")).alias("hint"))
@@ -228,44 +195,16 @@ def numbering_patterns(t):
     return profile.numbering(_lines(t), "line")
 
 
-@query("PRO-10")
-def numbering_details(t):
-    return profile.numbering_report(_lines(t), "doc_id", "pos", "line")
-
-
 @query("PRO-11")
 def line_samples(t):
     return t("documents").select("doc_id", F.array_join(profile.samples(F.col("text")), "\n").alias("sample"))
 
 
-@query("SEG-29 SEG-33 SRC-01 SRC-02", f"SELECT doc_id, CAST(0 AS INTEGER) AS pos, {STRIP % 'text'} AS chunk FROM documents WHERE {STRIP % 'text'} <> '' AND NOT contains(text, chr(10) || chr(10))")
-def paragraph_chunks(t):
-    d = t("documents").where(~F.contains("text", F.lit("\n\n")))
-    return segment.STRATEGIES["paragraph"](d, "doc_id", "text")
-
-
 @query("SEG-30 SEG-31", f"SELECT doc_id, CAST(0 AS INTEGER) AS pos, {STRIP % 'text'} AS chunk FROM documents")
 def whole_chunks(t):
     return segment.whole(t("documents"), "doc_id", "text")
 
 
-@query("SEG-32", "SELECT doc_id, CAST(0 AS INTEGER) AS pos, '{PVGM 1.2}' || text AS chunk, '{PVGM 1.2}' AS reference FROM documents UNION ALL SELECT doc_id, 1, '{PVGM 1.3} fin', '{PVGM 1.3}' FROM documents")
-def reference_chunks(t):
-    d = t("documents").select("doc_id", F.concat(F.lit("antes {PVGM 1.2}"), "text", F.lit("{PVGM 1.3} fin")).alias("text"))
-    return segment.by_reference(d, "doc_id", "text")
-
-
-@query("SEG-34 JOI-04 SRT-07", "SELECT doc_id, CAST(1 AS INTEGER) AS segment_order, 'document' AS kind, text AS segment FROM documents WHERE NOT contains(text, chr(10) || chr(10))")
-def library_segments(t):
-    return segment.library_segments(t("documents").where(~F.contains("text", F.lit("\n\n"))), "doc_id", "text")
-
-
-@query("SEG-35", "SELECT doc_id, CAST(0 AS INTEGER) AS pos, 'Nota' AS title FROM documents UNION ALL SELECT doc_id, 1, 'Otra' FROM documents")
-def markdown_notes(t):
-    d = t("documents").select("doc_id", F.concat(F.lit("# Nota\n"), F.regexp_replace("text", "#", ""), F.lit("\n# Otra\nfin")).alias("text"))
-    return segment.notes(d, "doc_id", "text").select("doc_id", "pos", "title")
-
-
 @query("SEG-01", rf"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+([A-ZÁÉÍÓÚÜÑ])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')) AS sentences FROM documents")
 def sentence_split(t):
     return t("documents").select("doc_id", F.size(segment.sentences(F.col("text"))).cast("long").alias("sentences"))
@@ -358,25 +297,12 @@ def markdown_poems(t):
     return segment.typed_runs(b, "conv_id", "turn", "kind", "text")
 
 
-@query("SEG-36 SNK-02", "SELECT sha256(sha256(text) || '-1') AS segment_id, sha256(text) AS document_id, length(text) AS text_length, source AS source_file_path FROM documents WHERE NOT contains(text, chr(10) || chr(10))")
-def segments_enriched(t):
-    d = t("documents").where(~F.contains("text", F.lit("\n\n")))
-    e = segment.enriched(segment.library_segments(d, "doc_id", "text"), d, "doc_id", "text", "source")
-    return e.select("segment_id", "document_id", F.col("text_length").cast("long").alias("text_length"), "source_file_path")
-
-
 @query("SNK-01 SNK-03", "SELECT text, 'turn' AS type, nullif(turn, 0) AS order_no FROM conversations")
 def generic_records(t):
     g = sinks.generic(t("conversations").withColumn("kind", F.lit("turn")), "text", "kind", "turn")
     return g.select("text", "type", F.col("order").alias("order_no"))
 
 
-@query("SNK-03 SNK-07 SNK-14", "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id")
-def grouped_json(t):
-    g = sinks.grouped_json(t("conversations"), "conv_id", "turn")
-    return g.select("conv_id", F.size(F.from_json("value", "segments array<struct<turn:long>>")["segments"]).cast("long").alias("turns"))
-
-
 @query("SNK-04 MAP-01 MAP-03")
 def metadata_maps(t):
     m = F.create_map(F.lit("title"), F.col("source"), F.lit("pages"), F.col("n_chars").cast("string"), F.lit("gone"), F.lit(None).cast("string"))
@@ -413,64 +339,11 @@ def _attributed(t):
     return t("documents").select("doc_id", "source", F.concat(F.lit("Escrito por "), who, F.lit(".\n"), F.regexp_replace("text", r"[-–—]", " ")).alias("text"))
 
 
-@query("AUT-14 AUT-06 WIN-11", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Ana López Ruiz' WHEN 1 THEN 'Pedro Gómez' ELSE 'Marta Díaz' END AS name FROM documents")
-def author_attribution_candidates(t):
-    return authors.attributions(_attributed(t), "doc_id", "text").select("doc_id", "name").where("name IN ('Ana López Ruiz', 'Pedro Gómez', 'Marta Díaz')")
-
-
-@query("AUT-01 AUT-06 AUT-16 AUT-17 AUT-18 MTH-04 AUT-35 AUT-08")
-def author_attribution(t):
-    return authors.attribute(_attributed(t), "doc_id", "text")
-
-
 @query("AUT-17", "SELECT event_id, CASE WHEN value % 1 < 0.1 THEN 0.8 WHEN value % 1 < 0.2 THEN 0.6 WHEN value % 1 > 0.9 THEN 0.7 WHEN value % 1 > 0.8 THEN 0.5 ELSE 0.2 END::DOUBLE AS score FROM events")
 def author_position_score(t):
     return t("events").select("event_id", authors.positional(F.col("value") % 1).cast("double").alias("score"))
 
 
-@query("AUT-15")
-def name_morphology(t):
-    return t("supplier").select("s_suppkey", F.round(authors.morphology(F.regexp_replace("s_name", r"[#\d]+", " Martínez")), 6).alias("score"))
-
-
-@query("AUT-12 AUT-13 AUT-05 AUT-19 AUT-21", "SELECT p_partkey, len(string_split(p_name, ' ')) BETWEEN 2 AND 4 AND false AS valid FROM part")
-def author_name_validity(t):
-    return t("part").select("p_partkey", authors.valid_name(F.lower("p_name")).alias("valid"))
-
-
-@query("AUT-20 AUT-22 AUT-23 AUT-34 AUT-07")
-def author_from_title(t):
-    title = F.concat(F.lit("/libros/"), F.when(F.col("doc_id") % 2 == 0, "Ana López - Poemas").otherwise("García, Juan"), F.lit(".pdf"))
-    d = t("documents").select("doc_id", F.array_join(authors.from_title(title), "|").alias("names"), authors.metadata_author(F.lit("Adobe Acrobat"), F.lit("juan garcía")).alias("meta"))
-    return d
-
-
-@query("AUT-29 AUT-30 AUT-09 JOI-09 JOI-13 STR-21")
-def author_known(t):
-    d = t("documents")
-    names = d.select("doc_id", F.when(d.doc_id % 2 == 0, "Ana Lopez Ruiz").otherwise("Ana Lopes Ruiz").alias("name"), F.lit(0.6).alias("confidence"))
-    dictionary = d.limit(1).select(F.lit("Ana López Ruiz").alias("author"), F.array(F.lit("A. López")).alias("aliases"))
-    k = authors.known(names, "name", dictionary)
-    return k.select("doc_id", "canonical", F.round("match", 4).alias("match"), F.round(authors.boosted(F.col("confidence"), F.col("match")), 4).alias("confidence"))
-
-
-@query("AUT-02 AUT-03 AUT-04 AGG-20 SRT-09", "SELECT doc_id, 'Ana López' AS author, 0.9::DOUBLE AS confidence, 'literary_db' AS method, 2 AS agree FROM documents")
-def author_choice(t):
-    d = t("documents")
-    c = d.select("doc_id", F.lit("Ana López").alias("name"), F.lit(0.8).alias("confidence"), F.lit("literary_db").alias("method"))
-    c = c.unionByName(d.select("doc_id", F.lit("ANA LOPEZ").alias("name"), F.lit(0.7).alias("confidence"), F.lit("contextual").alias("method")))
-    c = c.unionByName(d.select("doc_id", F.lit("Juan Pérez").alias("name"), F.lit(0.9).alias("confidence"), F.lit("other").alias("method")))
-    return authors.choose(c, "doc_id").select("doc_id", "author", "confidence", "method", F.col("agree").cast("int").alias("agree"))
-
-
-@query("AUT-24 AUT-25 AUT-26 AUT-27 AUT-28")
-def author_literary(t):
-    d = t("documents")
-    dictionary = d.limit(1).select(F.lit("Ana López").alias("author"), F.array(F.lit("the"), F.lit("and of")).alias("markers"), F.array(F.lit("cióníez")).alias("works"))
-    s = authors.literary(d, "doc_id", "text", dictionary)
-    return s.select("doc_id", "author", F.round("score", 4).alias("score"), F.array_join("markers", "|").alias("markers"))
-
-
 @query("AUT-33", "SELECT doc_id, 'idiot' AS author, len(regexp_extract_all(lower(text), '\\bidiot\\b')) AS n FROM documents WHERE regexp_matches(lower(text), '\\bidiot\\b')")
 def author_mentions(t):
     return authors.mentions(t("documents"), "doc_id", "text", ["idiot"]).select("doc_id", "author", F.col("n").cast("long").alias("n"))
@@ -561,19 +434,6 @@ def semantic_batch(t):
     return search.nearest_to_each(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).withColumn("similarity", F.round("similarity", 4))
 
 
-@query("EMB-02 MTH-02 SEA-08", "SELECT vec_id, CAST(floor((1 - abs(label / 10.0)) * 100 + 0.5) AS INTEGER) AS score, 64 AS dims FROM embeddings")
-def semantic_scores(t):
-    return t("embeddings").select("vec_id", V.api_score(F.col("label") / 10.0).alias("score"), F.size(V.or_zero(F.col("embedding"), 64)).alias("dims"))
-
-
-@query("SEA-09 JOI-12 SET-15 SRT-10", f"WITH l AS (SELECT doc_id, 0.8 AS score, 'literal' AS origin FROM documents WHERE {_HIT % 'thing'}), s AS (SELECT vec_id AS doc_id, label / 10.0 AS score, 'semantic' AS origin FROM embeddings) SELECT doc_id, round(score, 6)::DOUBLE AS score, origin FROM (SELECT * FROM l UNION ALL SELECT * FROM s WHERE doc_id NOT IN (SELECT doc_id FROM l)) ORDER BY score DESC, doc_id LIMIT 50")
-def hybrid_search(t):
-    lit = search.literal(t("documents"), "text", "thing", True).select("doc_id", "score")
-    sem = t("embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("label") / 10.0).alias("score"))
-    h = search.hybrid(lit, sem, "doc_id", k=50)
-    return h.select("doc_id", F.round("score", 6).cast("double").alias("score"), "origin")
-
-
 # ---- rules, JSON, HTML
 
 
@@ -597,24 +457,12 @@ def json_extract(t):
     return rules.extract(found, "item", [rules.Rule("source", "exists")], ["missing", "text"], "source", None, 100).select("doc_id", "text", "pointer")
 
 
-@query("SRC-08", "SELECT event_id, 'OBJECT<k: BIGINT>' AS json_schema, 1 AS entries FROM events")
-def json_structure(t):
-    return rules.structure(t("events").withColumn("doc", rules.parsed(F.col("props"))), "doc").select("event_id", "json_schema", "entries")
-
-
 @query("JSN-02 JSN-03 SRC-04", "SELECT doc_id, text, source AS author FROM documents WHERE text <> ''")
 def ndjson_records(t):
     d = t("documents").select("doc_id", rules.parsed(F.to_json(F.struct(F.col("text").alias("content"), F.col("source").alias("autor")))).alias("doc"))
     return rules.records(d, "doc").select("doc_id", "text", "author").where("text IS NOT NULL")
 
 
-@query("JSN-04 JSN-05 SRC-03 DAT-06", "SELECT doc_id, source AS title, 'Uno' AS heading FROM documents")
-def front_matter(t):
-    md = F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit("\ndate: 2024-01-02\n---\n# Uno\n"), F.regexp_replace("text", "#", ""))
-    head, body = files.front_matter(md)
-    return t("documents").select("doc_id", head["title"].alias("title"), files.markdown_title(body).alias("heading"))
-
-
 @query("SRC-34", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\r\f\v]+', ' ', 'g')) AS title FROM pages")
 def html_title(t):
     return t("pages").select("page_id", files.html_title(F.col("html")).alias("title"))
@@ -630,16 +478,6 @@ def source_folders(t):
     return t("pages").select("page_id", files.source_folder(F.col("url")).alias("folder"))
 
 
-@query("SRC-09 SRC-10 SRC-14", "SELECT 'r_regionkey: ' || r_regionkey || '; r_name: ' || r_name AS block FROM region")
-def csv_blocks(t):
-    return files.csv_rows(t("region").select("r_regionkey", "r_name")).select("block")
-
-
-@query("SRC-18 SRC-19", f"SELECT doc_id, count(*) <= 3 AS ocr FROM ({LINES}) GROUP BY doc_id")
-def ocr_decision(t):
-    return files.needs_ocr(_lines(t), "doc_id", "line").select("doc_id", "ocr")
-
-
 @query("SRC-21 SRC-22 SRC-23")
 def ocr_blocks(t):
     return files.ocr_blocks(_lines(t), "doc_id", "pos", "line")
@@ -687,12 +525,6 @@ def segment_notes(t):
     return reader.with_notes(t("documents").select("doc_id"), n, "doc_id", "turn").select("doc_id", F.col("n_notes").cast("long").alias("n_notes"))
 
 
-@query("RDR-04 STR-20", "SELECT doc_id, CAST(20 AS INTEGER) AS at FROM documents WHERE length(text) > 60")
-def highlight_place(t):
-    d = t("documents").where("length(text) > 60").select("doc_id", F.concat(F.lit("01234567890123456789"), F.lit("QX"), "text").alias("text"))
-    return d.select("doc_id", reader.locate(F.col("text"), F.lit(" QX ")).alias("at"))
-
-
 @query("RDR-05 WIN-13", "SELECT item_id, left(text, 5) || '<mark>' || substr(text, 6, 4) || '</mark>' || substr(text, 10) AS marked FROM benchmark")
 def annotate_text(t):
     spans = F.array(F.struct(F.lit(5).alias("start"), F.lit(4).alias("size")))
@@ -715,3 +547,287 @@ def events_session(t):
 @query("STM-01 EMB-04", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 100")
 def incremental_todo(t):
     return incremental.unprocessed(t("documents").select("doc_id"), t("labels"), "doc_id", 100)
+
+
+# ---- queries over inputs that reach all of an operator's cases
+
+
+@query("STR-05 STR-06 STR-07", f"SELECT p_partkey, {restated.clean_name(restated.PERSON)} AS name FROM part")
+def clean_person_names(t):
+    raw = F.concat(F.lit('  "'), F.upper("p_name"), F.lit("  DE  la "), F.lower("p_type"), F.lit(' y PEÑA-8", '))
+    return t("part").select("p_partkey", T.clean_name(raw).alias("name"))
+
+
+@query("SRC-38 SRC-40", "SELECT table_name AS name, row_number() OVER (ORDER BY table_name) AS position FROM information_schema.tables")
+def stored_tables(t):
+    names = t.listing().select(F.regexp_extract("path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1).alias("name")).where("name <> ''").distinct()
+    return names.select("name", F.row_number().over(Window.orderBy("name")).cast("long").alias("position"))
+
+
+@query("SRC-40", "WITH p AS (SELECT regexp_extract(url, '://(.*)$', 1) AS path FROM pages), i AS (SELECT path FROM p WHERE path <> ''), n AS (SELECT regexp_extract(path, '^([^/]*)', 1) AS name, bool_or(contains(path, '/')) AS is_dir, count(*) AS files FROM i GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY is_dir DESC, name) AS INTEGER) AS position FROM n")
+def folder_listing(t):
+    return files.folder(t("pages").select(F.regexp_extract("url", "://(.*)$", 1).alias("path")), "path")
+
+
+@query("STR-08", "SELECT doc_id, CASE WHEN a > 50 THEN '...' ELSE '' END || replace(substr(text, greatest(a - 50, 0) + 1, greatest(least(a + 60, length(text)) - greatest(a - 50, 0), 0)), chr(10), ' ') || CASE WHEN least(a + 60, length(text)) < length(text) THEN '...' ELSE '' END AS context FROM (SELECT doc_id, text, CAST(doc_id * 7 % 400 AS INTEGER) AS a FROM documents)")
+def text_context(t):
+    return t("documents").select("doc_id", T.context(F.col("text"), (F.col("doc_id") * 7 % 400).cast("int"), F.lit(10)).alias("context"))
+
+
+@query("DAT-01", "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 5 THEN strftime(o_orderdate, '%Y') WHEN 6 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders")
+def publication_dates(t):
+    shapes = ["dd/MM/yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "yyyyMMdd", "yyyy", "'2024-13-'dd"]
+    raw = reduce(lambda c, k: c.when(F.col("o_orderkey") % 7 == k, F.concat(F.lit(" "), F.date_format("o_orderdate", shapes[k]))), range(1, 7), F.when(F.col("o_orderkey") % 7 == 0, F.date_format("o_orderdate", shapes[0])))
+    return t("orders").select("o_orderkey", T.publication_date(raw).alias("d"))
+
+
+@query(
+    "DAT-02 DAT-03 DAT-04 DAT-05",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 4 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y') WHEN 2 THEN strftime(o_orderdate, '%Y')"
+    " WHEN 3 THEN strftime(o_orderdate, '%Y') WHEN 4 THEN strftime(o_orderdate, '%Y-%m') END AS p FROM orders",
+)
+def filename_dates(t):
+    shapes = ["'nota 'yyyy-MM-dd'.md'", "'acta_'yyyyMMdd'_v.csv'", "'x-'dd_MM_yyyy'.xlsx'", "'y_'yyyy_MM_dd'.docx'", "'mes 'yyyy-MM'.md'", "'sin fecha.txt'"]
+    name = reduce(lambda c, k: c.when(F.col("o_orderkey") % 6 == k, F.date_format("o_orderdate", shapes[k])), range(1, 6), F.when(F.col("o_orderkey") % 6 == 0, F.date_format("o_orderdate", shapes[0])))
+    return t("orders").select("o_orderkey", T.filename_date(name).alias("d"), T.partial_date(name).alias("p"))
+
+
+_BAD = "text || repeat(chr(65533), CAST(doc_id % 70 AS INTEGER))"
+
+
+@query(
+    "CLN-15 SNK-05",
+    f"WITH b AS (SELECT doc_id, {_BAD} AS raw, {STRIP % _BAD} AS t, CAST(doc_id % 70 AS INTEGER) AS bad FROM documents), c AS (SELECT *, length(t) >= 10 AND (bad >= 10 OR regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]{{5,}}')) AS corrupt FROM b)"
+    f" SELECT doc_id, corrupt, CASE WHEN corrupt THEN '{sinks.UNREADABLE}' ELSE regexp_replace(raw, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g') END AS written FROM c",
+)
+def extreme_corruption(t):
+    raw = F.concat("text", F.repeat(F.lit("�"), (F.col("doc_id") % 70).cast("int")))
+    return t("documents").select("doc_id", clean.extremely_corrupt(raw).alias("corrupt"), sinks.safe_text(raw).alias("written"))
+
+
+@query("CLN-06 AGG-10", f"SELECT doc_id, n, round(short, 6) AS short, round(single, 6) AS single, round(open_end, 6) AS open_end, round(avg_len, 4) AS avg_len, (n >= 50 AND short > 0.65 AND single > 0.75 AND open_end > 0.7) OR (n > 500 AND avg_len < 120 AND short > 0.5) AS fragmented FROM (SELECT doc_id, count(*) AS n, avg((length(line) < 100)::INT) AS short, 1.0::DOUBLE AS single, avg((NOT regexp_matches({STRIP % 'line'}, '[.!?:;]$'))::INT) AS open_end, avg(length(line)) AS avg_len FROM (SELECT doc_id % 40 AS doc_id, regexp_replace(line, '[.]', '', 'g') AS line FROM ({LINES})) GROUP BY doc_id)")
+def ocr_fragmentation(t):
+    b = _lines(t).select((F.col("doc_id") % 40).alias("doc_id"), F.regexp_replace("line", "[.]", "").alias("line"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return clean.fragmented(b, "doc_id", "line").select("doc_id", "n", r("short"), r("single"), r("open_end"), F.round("avg_len", 4).alias("avg_len"), "fragmented")
+
+
+@query("SEG-29 SEG-33 SRC-01 SRC-02", f"WITH d AS (SELECT doc_id, {restated.blocks('replace(text, chr(10), chr(10) || chr(32) || chr(10))')} AS b FROM documents) SELECT doc_id, CAST(generate_subscripts(b, 1) - 1 AS INTEGER) AS pos, unnest(b) AS chunk FROM d")
+def paragraph_chunks(t):
+    d = t("documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n \n")))
+    return segment.STRATEGIES["paragraph"](d, "doc_id", "text")
+
+
+_REFS = "replace('antes ' || text, chr(10), chr(10) || '{PVGM 1.' || (doc_id % 9) || '} ')"
+
+
+@query("SEG-32", f"WITH d AS (SELECT doc_id, string_split(regexp_replace({_REFS}, '(\\{{\\s*[A-Z]{{2,5}}\\s+\\d{{1,3}}\\.\\d{{1,3}}\\s*\\}})', chr(1) || '\\1', 'g'), chr(1)) AS p FROM documents), c AS (SELECT doc_id, CASE WHEN len(p) = 1 THEN p ELSE p[2:] END AS p FROM d), u AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, unnest(p) AS chunk FROM c) SELECT doc_id, pos, chunk, nullif(regexp_extract(chunk, '^\\{{[^}}]*\\}}'), '') AS reference FROM u")
+def reference_chunks(t):
+    raw = F.replace(F.concat(F.lit("antes "), "text"), F.lit("\n"), F.concat(F.lit("\n{PVGM 1."), (F.col("doc_id") % 9).cast("string"), F.lit("} ")))
+    return segment.by_reference(t("documents").select("doc_id", raw.alias("text")), "doc_id", "text")
+
+
+_DOUBLED = "replace(text, chr(10), chr(10) || chr(10))"
+_PARAGRAPHS = f"d AS (SELECT doc_id, source, {_DOUBLED} AS text FROM documents), p AS (SELECT *, list_filter(string_split(text, chr(10) || chr(10)), lambda x: {STRIP % 'x'} <> '') AS p FROM d), q AS (SELECT doc_id, source, text, CASE WHEN len(p) > 1 THEN 'paragraph' ELSE 'document' END AS kind, CASE WHEN len(p) > 1 THEN p ELSE [text] END AS p FROM p), s AS (SELECT doc_id, source, text, kind, CAST(generate_subscripts(p, 1) AS INTEGER) AS segment_order, unnest(p) AS segment FROM q)"
+
+
+def _doubled(t):
+    return t("documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+@query("SEG-34 JOI-04 SRT-07", f"WITH {_PARAGRAPHS} SELECT doc_id, segment_order, kind, segment FROM s")
+def library_segments(t):
+    return segment.library_segments(_doubled(t), "doc_id", "text")
+
+
+@query("SEG-35", f"WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '\\n([^\\n]*)\\n', chr(10) || '# \\1' || chr(10), 'g'), '(?m)^#[ \\t]+', chr(1), 'g'), chr(1)), lambda x: {STRIP % 'x'} <> '') AS n FROM documents), u AS (SELECT doc_id, CAST(generate_subscripts(n, 1) - 1 AS INTEGER) AS pos, unnest(n) AS n FROM d) SELECT doc_id, pos, regexp_extract(n, '^([^\\n]*)', 1) AS title, {STRIP % restated.AFTER_FIRST_LINE} AS content FROM u")
+def markdown_notes(t):
+    d = t("documents").select("doc_id", F.regexp_replace("text", r"\n([^\n]*)\n", "\n# $1\n").alias("text"))
+    return segment.notes(d, "doc_id", "text")
+
+
+@query("SEG-36 SNK-02 AUT-35", f"WITH {_PARAGRAPHS}, v AS ({restated.SQL['language_vote']}) SELECT sha256(sha256(text) || '-' || segment_order) AS segment_id, sha256(text) AS document_id, segment AS text, kind AS segment_type, segment_order, length(segment) AS text_length, source AS source_file_path, coalesce(nullif(v.lang, 'und'), 'unknown') AS document_language, 'src ' || source AS author FROM s JOIN v USING (doc_id)")
+def segments_enriched(t):
+    d = _doubled(t)
+    e = segment.enriched(segment.library_segments(d, "doc_id", "text"), d, "doc_id", "text", "source")
+    names = d.select(F.col("source").alias("source_file_path"), F.concat(F.lit("src "), "source").alias("author")).distinct()
+    return authors.attach(e, names, "source_file_path").select("segment_id", "document_id", "text", "segment_type", "segment_order", F.col("text_length").cast("long").alias("text_length"), "source_file_path", "document_language", "author")
+
+
+@query("SNK-03 SNK-07 SNK-14", "SELECT conv_id, string_agg(turn || ' ' || role || ' ' || text, '|' ORDER BY turn) AS segments FROM conversations GROUP BY conv_id")
+def grouped_json(t):
+    g = sinks.grouped_json(t("conversations"), "conv_id", "turn")
+    parsed = F.from_json("value", "conv_id long, segments array<struct<turn:long,role:string,text:string>>")
+    return g.select(parsed.alias("_v")).select("_v.conv_id", F.array_join(F.transform("_v.segments", lambda x: F.concat_ws(" ", x["turn"], x["role"], x["text"])), "|").alias("segments"))
+
+
+@query("SNK-08", "SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(n, '\\.[^.]*$', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed_file') || CASE WHEN contains(n, '.') THEN '_' || regexp_extract(n, '\\.([^.]*)$', 1) ELSE '' END || '.ndjson' AS name FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '([^/]*)$', 1) ELSE 'acta ' || page_id || '.tar.csv' END AS n FROM pages)")
+def output_names(t):
+    path = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/a/acta "), F.col("page_id").cast("string"), F.lit(".tar.csv")))
+    return t("pages").select("page_id", sinks.output_name(path).alias("name"))
+
+
+@query("SET-01", "SELECT file_index, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS line_number FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY source) AS INTEGER) AS file_index FROM documents)")
+def numbered_lines(t):
+    return sinks.numbered(t("documents").select("source", "doc_id"), "source", "doc_id").select("file_index", "doc_id", "line_number")
+
+
+@query("AUT-14 AUT-06 WIN-11", f"WITH {restated.ATTRIBUTED}, {restated.NAMES} SELECT doc_id, name, count(*) AS n FROM names GROUP BY doc_id, name")
+def author_attribution_candidates(t):
+    return authors.attributions(_attributed(t), "doc_id", "text")
+
+
+@query("AUT-01 AUT-06 AUT-16 AUT-17 AUT-18 MTH-04 AUT-08", restated.ATTRIBUTION)
+def author_attribution(t):
+    return authors.attribute(_attributed(t), "doc_id", "text")
+
+
+@query("AUT-15", restated.MORPHOLOGY)
+def name_morphology(t):
+    return t("part").select("p_partkey", F.round(authors.morphology(F.concat(F.lit("Don "), "p_name", F.when(F.col("p_partkey") % 2 == 0, " Martínez").otherwise(" de la Sol"))), 6).alias("score"))
+
+
+@query("AUT-12 AUT-13 AUT-05 AUT-19 AUT-21", f"SELECT p_partkey, {restated.valid_name('n')} AS valid, regexp_matches(lower(n), '{authors.SOFTWARE}') AS software, regexp_matches(lower(n), '{authors.SECTIONS}') AS section FROM (SELECT p_partkey, {restated.CANDIDATE} AS n FROM part)")
+def author_name_validity(t):
+    k, name = F.col("p_partkey") % 6, F.initcap("p_name")
+    n = F.when(k == 0, name).when(k == 1, F.col("p_name")).when(k == 2, F.concat(name, F.lit(" 9"))).when(k == 3, F.concat(name, F.lit(" Canta"))).when(k == 4, F.concat(name, F.lit(" Word Prólogo"))).otherwise(F.concat(name, F.lit(" De La Torre")))
+    return t("part").select("p_partkey", authors.valid_name(n).alias("valid"), authors.is_software(n).alias("software"), authors.is_section(n).alias("section"))
+
+
+@query("AUT-20 AUT-22 AUT-23 AUT-34 AUT-07", restated.FROM_TITLE)
+def author_from_title(t):
+    k, name = F.col("p_partkey") % 4, F.initcap("p_name")
+    title = F.concat(F.lit("/libros/"), F.when(k == 0, F.concat(name, F.lit(" - Poemas"))).when(k == 1, F.concat(F.regexp_extract(name, r"(\S+)$", 1), F.lit(", "), F.regexp_extract(name, r"^(\S+)", 1))).when(k == 2, F.concat(F.translate(name, " ", "_"), F.lit("_Capítulo"))).otherwise(F.col("p_name")), F.lit(".pdf"))
+    program = F.when(k < 2, F.lit("Adobe Acrobat")).otherwise(F.upper("p_name"))
+    return t("part").select("p_partkey", F.array_join(authors.from_title(title), "|").alias("names"), authors.metadata_author(program, F.col("p_name")).alias("meta"))
+
+
+@query("AUT-29 AUT-30 AUT-09 JOI-09 JOI-13 STR-21", restated.KNOWN)
+def author_known(t):
+    p = t("part")
+    full = F.concat("p_name", F.lit(" "), F.lower("p_brand"))
+    changed = F.when(F.col("p_partkey") % 3 == 0, F.upper(full)).when(F.col("p_partkey") % 3 == 1, F.concat(F.left(full, F.lit(2)), F.expr("substring(concat(p_name, ' ', lower(p_brand)), 4)"))).otherwise(F.concat(F.reverse("p_name"), F.lit(" z")))
+    names = p.select("p_partkey", changed.alias("name"), F.lit(0.6).alias("confidence"))
+    dictionary = p.where("p_partkey % 5 = 0").groupBy(full.alias("author")).agg(F.array(F.concat(F.reverse(F.first("p_name")), F.lit(" z"))).alias("aliases"))
+    k = authors.known(names, "name", dictionary)
+    return k.select("p_partkey", "canonical", F.round("match", 4).alias("match"), F.round(authors.boosted(F.col("confidence"), F.col("match")), 4).alias("confidence"))
+
+
+@query("AUT-02 AUT-03 AUT-04 AGG-20 SRT-09", restated.CHOICE)
+def author_choice(t):
+    d, m = t("documents"), lambda k: (F.col("doc_id") % k).cast("int")
+    one = lambda name, confidence, method: d.select("doc_id", name.alias("name"), confidence.alias("confidence"), F.lit(method).alias("method"))
+    c = one(F.lit("Ana López"), m(10) / 10, "literary_db").unionByName(one(F.when(m(2) == 0, "ANA LOPEZ").otherwise("Juan Pérez"), m(7) / 7, "contextual")).unionByName(one(F.lit("Juan Pérez"), m(4) / 4, "stylistic")).unionByName(one(F.lit("Otro"), m(3) / 2, "unknown"))
+    return authors.choose(c, "doc_id").select("doc_id", "author", "confidence", "method", F.col("agree").cast("int").alias("agree"))
+
+
+@query("AUT-25", f"WITH s AS ({restated.SQL['author_literary']}), d AS (SELECT s.*, doc_id % 3 = 0 AS titled, doc_id % 3 = 1 AS filed FROM s), m AS (SELECT doc_id, author, CASE WHEN titled AND score > 0.3 THEN round(least(0.9, 0.7 + score), 6) WHEN filed AND score > 0.2 THEN round(least(0.85, 0.6 + score), 6) WHEN score > 0.5 THEN round(least(0.8, score), 6) END::DOUBLE AS confidence, CASE WHEN titled AND score > 0.3 THEN 'document_title' WHEN filed AND score > 0.2 THEN 'filename' ELSE 'text' END AS source FROM d) SELECT * FROM m WHERE confidence IS NOT NULL")
+def author_literary_match(t):
+    scored = authors.literary(t("documents"), "doc_id", "text", _literary_dictionary(t))
+    title = F.when(F.col("doc_id") % 3 == 0, "Poemas de Ana Lopez").otherwise("Poemas")
+    return authors.literary_match(scored, "doc_id", title, F.when(F.col("doc_id") % 3 == 1, "ana_lópez.txt").otherwise("x.txt"))
+
+
+@query("AUT-24 AUT-26 AUT-27")
+def author_literary(t):
+    s = authors.literary(t("documents"), "doc_id", "text", _literary_dictionary(t))
+    return s.select("doc_id", "author", F.round("score", 4).alias("score"), F.array_join("markers", "|").alias("markers"))
+
+
+def _literary_dictionary(t):
+    return t("region").limit(1).select(F.lit("Ana López").alias("author"), F.array(F.lit("the"), F.lit("and of")).alias("markers"), F.array(F.lit("cióníez")).alias("works"))
+
+
+_LONG_WORDS = " Extraordinariamente, maravillosamente; incomprensiblemente! "
+
+
+@query("AUT-28", f"SELECT doc_id, CASE WHEN word_length > 5.5 AND diversity > 0.6 AND punctuation > 0.05 AND doc_id % 2 = 0 THEN 0.7::DOUBLE END AS confidence FROM ({restated.style(f'left(text, 200) || {chr(39)}{_LONG_WORDS}{chr(39)}')})")
+def author_modernism(t):
+    text = F.concat(F.left("text", F.lit(200)), F.lit(_LONG_WORDS))
+    f = authors.style(t("documents").select("doc_id", text.alias("text")), "doc_id", "text")
+    return f.select("doc_id", authors.modernism(f, F.when(F.col("doc_id") % 2 == 0, "Antologia").otherwise("Otro")).alias("confidence"))
+
+
+@query("EMB-02 MTH-02 SEA-08", f"SELECT vec_id, CAST(floor((1 - abs(similarity)) * 100 + 0.5) AS INTEGER) AS score, dims FROM (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_Q}::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_Q}::DOUBLE[], {_Q}::DOUBLE[]))), 6) AS similarity, 64 AS dims FROM embeddings)")
+def semantic_scores(t):
+    q = F.array(*[F.lit(x) for x in _Q])
+    gone = F.when(F.col("vec_id") % 9 != 0, F.col("embedding"))
+    return t("embeddings").select("vec_id", V.api_score(F.round(V.cosine(F.col("embedding"), q), 6)).alias("score"), F.size(V.or_zero(gone, 64)).alias("dims"))
+
+
+@query("SEA-09 JOI-12 SET-15 SRT-10", f"WITH l AS (SELECT doc_id, 0.8::DOUBLE AS score, 'literal' AS origin FROM documents WHERE {_HIT % 'thing'}), s AS (SELECT vec_id AS doc_id, round(list_dot_product(embedding::DOUBLE[], {_Q}::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_Q}::DOUBLE[], {_Q}::DOUBLE[]))), 6) AS score, 'semantic' AS origin FROM embeddings ORDER BY score DESC, doc_id LIMIT 40) SELECT doc_id, round(score, 4) AS score, origin FROM (SELECT * FROM l UNION ALL SELECT * FROM s WHERE doc_id NOT IN (SELECT doc_id FROM l)) ORDER BY score DESC, doc_id LIMIT 50")
+def hybrid_search(t):
+    lit = search.literal(t("documents"), "text", "thing", True).select("doc_id", "score")
+    sem = search.nearest(t("embeddings"), "vec_id", "embedding", _Q, 40).select(F.col("vec_id").alias("doc_id"), F.round("similarity", 6).alias("score"))
+    return search.hybrid(lit, sem, "doc_id", k=50).select("doc_id", F.round("score", 4).alias("score"), "origin")
+
+
+@query("SRC-08", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'OBJECT<k: BIGINT>' WHEN 1 THEN 'ARRAY<BIGINT>' ELSE 'OBJECT<a: OBJECT<b: STRING>, c: BOOLEAN>' END AS json_schema, CAST(CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN event_id % 5 + 1 ELSE 2 END AS INTEGER) AS entries FROM events")
+def json_structure(t):
+    k = F.col("event_id")
+    raw = F.when(k % 3 == 0, F.col("props")).when(k % 3 == 1, F.to_json(F.sequence(F.lit(0).cast("long"), k % 5))).otherwise(F.lit('{"a": {"b": "x"}, "c": true}'))
+    return rules.structure(t("events").withColumn("doc", rules.parsed(raw)), "doc").select("event_id", "json_schema", "entries")
+
+
+@query("JSN-04 JSN-05 SRC-03 DAT-06", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS title, CASE WHEN doc_id % 2 = 0 THEN '2024-01-0' || (doc_id % 9 + 1) END AS date, nullif(trim(regexp_extract('# ' || text, '(?m)^[ \\t]*#[ \\t]+(.+)$', 1), E' \\t\\r\\f\\v'), '') AS heading, length(text) + 2 AS body FROM documents")
+def front_matter(t):
+    head = F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit("\ndate: 2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("\n---\n"))
+    md = F.concat(F.when(F.col("doc_id") % 2 == 0, head).otherwise(""), F.lit("# "), F.col("text"))
+    head, body = files.front_matter(md)
+    return t("documents").select("doc_id", head["title"].alias("title"), head["date"].alias("date"), files.markdown_title(body).alias("heading"), F.length(body).cast("long").alias("body"))
+
+
+@query("SRC-09 SRC-10 SRC-14 SRC-37", "WITH r AS (SELECT s_nationkey AS path, 's_suppkey: ' || s_suppkey || '; s_name: ' || s_name || '; Columna_3: a,;|b' AS block, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier) SELECT path, CAST(pos AS INTEGER) AS pos, block FROM r")
+def csv_blocks(t):
+    sign = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t"), F.lit("|")), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    row = F.concat_ws("\x01", F.col("s_suppkey"), "s_name", F.lit('"a,;|b"'), F.lit(""), F.lit(""), F.lit(""))
+    f = t("supplier").groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
+    text = F.replace(F.concat(F.lit("s_suppkey\x01s_name\x01\x01Unnamed: 3\x01\x01\n"), "rows"), F.lit("\x01"), sign)
+    return files.csv_blocks(f.select(F.col("s_nationkey").alias("path"), text.alias("text")))
+
+
+@query("SRC-18 SRC-19", f"SELECT doc_id, count(*) <= 3 OR sum(len(regexp_extract_all(l, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]'))) / greatest(sum(length(l)), 1) >= 0.7 AS ocr, doc_id % 8 <= 3 OR (doc_id % 50 >= 20 AND (doc_id % 8) / (doc_id % 50) < 0.1) AS ocr_after FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(line, '[a-z]', chr(1), 'g') ELSE line END AS l FROM ({LINES})) GROUP BY doc_id")
+def ocr_decision(t):
+    damaged = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("line", "[a-z]", "\x01")).otherwise(F.col("line"))
+    d = files.needs_ocr(_lines(t).withColumn("line", damaged), "doc_id", "line")
+    return d.select("doc_id", "ocr", files.needs_ocr_after(F.col("doc_id") % 8, F.col("doc_id") % 50).alias("ocr_after"))
+
+
+@query("RDR-04 STR-20", f"SELECT doc_id, CAST(instr({restated.squeeze('text')}, {restated.squeeze('substr(text, 41, 30)')}) - 1 AS INTEGER) AS at FROM documents")
+def highlight_place(t):
+    selection = F.regexp_replace(F.substring("text", 41, 30), " ", "  \n")
+    return t("documents").select("doc_id", reader.locate(F.col("text"), selection).alias("at"))
+
+
+@query("PRO-07 PRO-08", f"{_STATS}, x AS (SELECT g.*, d.text, coalesce(n_short / nullif(full_lines, 0), 0) AS sh, coalesce(n_very / nullif(full_lines, 0), 0) AS vs, (lines - full_lines) / lines AS bl FROM g JOIN documents d USING (doc_id)), y AS (SELECT *, (sh >= 0.8)::INT + (vs >= 0.6)::INT + (bl > 0.005)::INT + (groups >= 2)::INT AS met, round(0.4 * (sh >= 0.8)::INT + 0.3 * (vs >= 0.6)::INT + 0.2 * (bl > 0.005)::INT + 0.1 * (groups >= 2)::INT, 6)::DOUBLE AS score, (sh >= 0.8)::INT + (vs >= 0.7)::INT + (avg_length <= 150)::INT + 1 AS strong FROM x), z AS (SELECT doc_id, CASE WHEN full_lines < 5 OR (score >= 0.8 AND met >= 2) OR strong >= 2 THEN 'verso' ELSE 'prosa' END AS profile, CASE WHEN {STRIP % 'text'} = '' THEN 0.5 WHEN full_lines < 5 THEN 0.4 WHEN score >= 0.8 AND met >= 2 THEN score WHEN strong >= 2 THEN least(0.85, round(0.6 + 0.1 * strong, 6)) ELSE 0.6 END AS confidence FROM y) SELECT doc_id, CASE WHEN confidence >= 0.5 THEN profile ELSE 'prosa' END AS profile FROM z")
+def profile_auto(t):
+    return profile.accepted(profile.detect(t("documents"), "text", F.concat(F.col("source"), F.lit("/poema.txt"))), 0.5).select("doc_id", "profile")
+
+
+@query("PRO-10")
+def numbering_details(t):
+    r = profile.numbering_report(_lines(t), "doc_id", "pos", "line")
+    return r.select("doc_id", "pattern", "n", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), F.array_join("examples", "|").alias("examples"))
+
+
+@query("FLT-11 EMB-05", "SELECT vec_id FROM embeddings WHERE vec_id % 3 < 2 ORDER BY vec_id LIMIT 1000")
+def missing_embeddings(t):
+    e = t("embeddings").withColumn("embedding", F.when(F.col("vec_id") % 3 == 1, F.array().cast("array<float>")).when(F.col("vec_id") % 3 == 2, F.col("embedding")))
+    return incremental.lacking(e, "embedding", "vec_id").select("vec_id")
+
+
+@query("FLT-12", "SELECT doc_id FROM documents WHERE doc_id % 4 < 2 ORDER BY doc_id LIMIT 500")
+def missing_index_flags(t):
+    d = t("documents").withColumn("indexed", F.when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 > 1, "yes"))
+    return incremental.lacking(d, "indexed", "doc_id", 500).select("doc_id")
+
+
+@query("STM-04 STM-05", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS ts, CASE WHEN event_id % 3 = 0 THEN 'Desconocido' ELSE 'f' || event_id || '.json' END AS file, CASE event_id % 4 WHEN 0 THEN 'TypeError' WHEN 1 THEN 'NameError' WHEN 2 THEN 'ValueError' ELSE 'other' END AS error_type, event_type || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' para archivo f' || event_id || '.json: x' ELSE ' para f' || event_id || '.json' END || chr(10) || '  ' || CASE event_id % 4 WHEN 0 THEN 'TypeError, not ValueError' WHEN 1 THEN 'NameError' WHEN 2 THEN 'ValueError' ELSE 'nothing' END AS message FROM events")
+def error_log_entries(t):
+    k = F.col("event_id")
+    file = F.concat(F.lit("f"), k.cast("string"), F.lit(".json"))
+    named = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(" para archivo "), file, F.lit(": x"))).otherwise(F.concat(F.lit(" para "), file))
+    kind = F.when(k % 4 == 0, "TypeError, not ValueError").when(k % 4 == 1, "NameError").when(k % 4 == 2, "ValueError").otherwise("nothing")
+    entry = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" "), "event_type", named, F.lit("\n  "), kind)
+    logs = t("events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", entry.alias("e")))).alias("_e"))
+    return jobs.log_entries(logs.select(F.concat(F.lit("no time stamp\n"), F.array_join("_e.e", "\n")).alias("log")), "log")

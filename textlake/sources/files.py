@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from textlake.functions import text as T
 from textlake.operators import rules, segment
+from textlake.shipping import ship
 
 
 def whole(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -95,11 +98,76 @@ def json_objects(files: DataFrame, root: str | None = None, single: bool = False
     return rules.items(files.withColumn("doc", rules.parsed(F.col("text"))).where("doc IS NOT NULL"), "doc", root, single)
 
 
+def folder(paths: DataFrame, path: str, base: str = "") -> DataFrame:
+    """(name, is_dir, files, position): what lies in the folder ``base``, sub-folders first, then by name."""
+    inside = paths.where(F.startswith(path, F.lit(base))).select(F.expr(f"substring({path}, {len(base) + 1})").alias("_rest")).where("_rest <> ''")
+    names = inside.groupBy(F.regexp_extract("_rest", r"^([^/]*)", 1).alias("name")).agg(F.bool_or(F.contains("_rest", F.lit("/"))).alias("is_dir"), F.count(F.lit(1)).alias("files"))
+    return names.withColumn("position", F.row_number().over(Window.orderBy(F.desc("is_dir"), "name")))
+
+
 def delimiter(sample: str) -> str:
-    """The commonest of comma, semicolon, tab and bar in the first 1,024 characters; ties in that order."""
+    """The commonest of comma, semicolon, tab and bar in the first 1,024 characters; ties in that order, none: comma."""
     return max([",", ";", "\t", "|"], key=sample[:1024].count)
 
 
+def csv_blocks(files: DataFrame) -> DataFrame:
+    """(path, pos, block): rows of CSV texts (path, text) by their own delimiter and header, as ``column: value;
+    column: value``; empty cells and rows are left out, nameless columns numbered. A text is read where it lies."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for path, text in zip(part["path"], part["text"]):
+                rows = list(csv.reader(io.StringIO(text or ""), delimiter=delimiter(text or "")))
+                names = clean_names(rows[0]) if rows else []
+                for i, row in enumerate(rows[1:]):
+                    block = "; ".join(f"{n}: {v.strip()}" for n, v in zip(names, row) if v.strip())
+                    if block:
+                        out.append((path, i, block))
+            yield pd.DataFrame(out, columns=["path", "pos", "block"])
+
+    ship(files.sparkSession)
+    return files.select("path", "text").mapInPandas(run, f"path {files.schema['path'].dataType.simpleString()}, pos int, block string")
+
+
+def office(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, content) of binary files on any storage that Spark reads."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
+
+
+def _parsed_files(files: DataFrame, parse, columns: list[str], schema: str, failed) -> DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for path, content in zip(part["path"], part["content"]):
+                try:
+                    out += [(path, *row) for row in parse(bytes(content))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError) as e:
+                    out.append((path, *failed(e)))
+            yield pd.DataFrame(out, columns=columns)
+
+    ship(files.sparkSession)
+    return files.mapInPandas(run, schema)
+
+
+def docx_files(files: DataFrame) -> DataFrame:
+    """Paragraphs of DOCX files (path, content); a file that can't be read is one paragraph of style ``error``."""
+    columns = ["path", "pos", "text", "style", "bold", "centred"]
+    return _parsed_files(files, docx_paragraphs, columns, DocxSource.columns, lambda e: (0, f"{type(e).__name__}: {e}", "error", False, False))
+
+
+def docx_properties(files: DataFrame) -> DataFrame:
+    """(path, title, author, created, modified, subject, keywords) from the core properties of DOCX files; nulls
+    where a file has none."""
+    return _parsed_files(files, core_properties, ["path", *CORE], "path string, " + ", ".join(f"{c} string" for c in CORE), lambda e: (None,) * len(CORE))
+
+
+def xlsx_files(files: DataFrame) -> DataFrame:
+    """Blocks of XLSX files (path, content); a file or sheet that can't be read is one block of kind ``error``."""
+    parse = lambda data: sheet_blocks(list(xlsx_rows(data)))
+    return _parsed_files(files, parse, ["path", "sheet", "pos", "kind", "block"], XlsxSource.columns, lambda e: ("", 0, "error", f"{type(e).__name__}: {e}"))
+
+
 def csv_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(row, block): each row of a table as ``column: value; column: value``, empty cells and rows out."""
     names = names or df.columns
@@ -182,6 +250,7 @@ def first_answer(*providers: Column) -> Column:
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def docx_paragraphs(data: bytes) -> Iterator[tuple[int, str, str, bool, bool]]:
@@ -201,6 +270,18 @@ def docx_paragraphs(data: bytes) -> Iterator[tuple[int, str, str, bool, bool]]:
         at += 1
 
 
+# Core properties of an office file by our names
+CORE = {"title": "title", "author": "creator", "created": "created", "modified": "modified", "subject": "subject", "keywords": "keywords"}
+
+
+def core_properties(data: bytes) -> Iterator[tuple]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        found = {}
+        if "docProps/core.xml" in z.namelist():
+            found = {e.tag.rsplit("}", 1)[-1]: (e.text or "").strip() for e in ElementTree.fromstring(z.read("docProps/core.xml"))}
+    yield tuple(found.get(tag) or None for tag in CORE.values())
+
+
 def xlsx_rows(data: bytes) -> Iterator[tuple[str, int, list[str]]]:
     """(sheet, row number, cells) of a workbook."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -208,12 +289,19 @@ def xlsx_rows(data: bytes) -> Iterator[tuple[str, int, list[str]]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        titles = [s.get("name", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
-        for i, title in enumerate(titles, 1):
-            path = f"xl/worksheets/sheet{i}.xml"
-            if path not in names:
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for i, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"), 1):
+            title = sheet.get("name", "")
+            target = targets.get(sheet.get(f"{_R}id"), f"worksheets/sheet{i}.xml").removeprefix("/xl/")
+            path = f"xl/{target}"
+            try:
+                root = ElementTree.fromstring(z.read(path))
+            except (KeyError, ElementTree.ParseError) as e:  # a bad sheet doesn't cost the others
+                yield title, -1, [f"{type(e).__name__}: {e}"]
                 continue
-            for number, row in enumerate(ElementTree.fromstring(z.read(path)).iter(f"{_S}row")):
+            for number, row in enumerate(root.iter(f"{_S}row")):
                 cells: list[str] = []
                 for c in row.iter(f"{_S}c"):
                     letters = re.match(r"[A-Z]+", c.get("r", ""))
@@ -229,7 +317,10 @@ def xlsx_rows(data: bytes) -> Iterator[tuple[str, int, list[str]]]:
 def sheet_blocks(rows: list[tuple[str, int, list[str]]]) -> Iterator[tuple[str, int, str, str]]:
     """(sheet, pos, kind, block): a title, the header and each row as ``column: value | …``."""
     for sheet in dict.fromkeys(r[0] for r in rows):
-        cells = [r[2] for r in rows if r[0] == sheet]
+        cells = [r[2] for r in rows if r[0] == sheet and r[1] >= 0]
+        if bad := [r[2][0] for r in rows if r[0] == sheet and r[1] < 0]:
+            yield sheet, 0, "error", bad[0]
+            continue
         head = header_row(cells)
         names = clean_names(cells[head]) if cells else []
         yield sheet, 0, "title", sheet
@@ -264,8 +355,10 @@ class DocxSource(DataSource):
     def name(cls):
         return "docx"
 
+    columns = "path string, pos int, text string, style string, bold boolean, centred boolean"
+
     def schema(self):
-        return "path string, pos int, text string, style string, bold boolean, centred boolean"
+        return self.columns
 
     def reader(self, schema: StructType):
         return _OfficeReader(self.options["paths"].split(","), docx_paragraphs)
@@ -276,8 +369,10 @@ class XlsxSource(DataSource):
     def name(cls):
         return "xlsx"
 
+    columns = "path string, sheet string, pos int, kind string, block string"
+
     def schema(self):
-        return "path string, sheet string, pos int, kind string, block string"
+        return self.columns
 
     def reader(self, schema: StructType):
         return _OfficeReader(self.options["paths"].split(","), lambda data: sheet_blocks(list(xlsx_rows(data))))
@@ -298,7 +393,10 @@ def docx_headings(paragraphs: DataFrame) -> DataFrame:
 
 # Which reader a file's suffix means
 SUFFIXES = {".txt": "text", ".md": "markdown", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson", ".csv": "csv", ".tsv": "csv", ".html": "html", ".htm": "html", ".docx": "docx", ".xlsx": "xlsx"}
-READERS: dict = {"text": lambda s, p: text_blocks(whole(s, p)), "markdown": lambda s, p: markdown_blocks(whole(s, p)), "ndjson": ndjson, "json": lambda s, p: json_objects(whole(s, p)), "html": lambda s, p: whole(s, p).withColumn("text", html_text(F.col("text")))}
+READERS: dict = {
+    "csv": lambda s, p: csv_blocks(whole(s, p)), "docx": lambda s, p: docx_files(office(s, p, "*.docx")), "xlsx": lambda s, p: xlsx_files(office(s, p, "*.xlsx")),
+    "text": lambda s, p: text_blocks(whole(s, p)), "markdown": lambda s, p: markdown_blocks(whole(s, p)), "ndjson": ndjson, "json": lambda s, p: json_objects(whole(s, p)), "html": lambda s, p: whole(s, p).withColumn("text", html_text(F.col("text"))),
+}
 
 
 def register_reader(suffix: str, name: str, f) -> None:

@@ -93,7 +93,7 @@ def valid_files(lines: DataFrame, path: str, line: str) -> DataFrame:
 
 def numbered(lines: DataFrame, path: str, order: str) -> DataFrame:
     """Adds ``file_index`` and ``line_number``: files by name, lines by ``order``."""
-    names = lines.select(path).distinct().withColumn("file_index", F.row_number().over(Window.orderBy(path)))
+    names = lines.select(path).distinct().withColumn("file_index", F.row_number().over(Window.orderBy(path)))  # a row a file
     w = Window.partitionBy(path).orderBy(order)
     return lines.withColumn("line_number", F.row_number().over(w)).join(names, path)
 

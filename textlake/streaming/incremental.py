@@ -55,3 +55,10 @@ def unprocessed(docs: DataFrame, done: DataFrame, key: str, most: int | None = N
     """Rows that have no result yet; at most ``most`` a run, lowest keys first."""
     todo = docs.join(done.select(key), key, "left_anti")
     return todo.orderBy(key).limit(most) if most else todo
+
+
+def lacking(df: DataFrame, column: str, key: str, most: int = 1000) -> DataFrame:
+    """Rows whose ``column`` is null or empty (a text or a list), at most ``most`` a run, lowest keys first."""
+    c = F.col(column)
+    empty = c == "" if df.schema[column].dataType.typeName() == "string" else F.size(c) == 0
+    return df.where(c.isNull() | empty).orderBy(key).limit(most)
