@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
-from textlake.operators import authors, clean, reader, registry, rules, search, segment
-from textlake.sources import files
+from textlake.functions import vector as V
+from textlake.operators import authors, clean, jobs, reader, registry, rules, search, segment
+from textlake.sources import files, sinks
 from textlake.streaming import incremental
 
 
@@ -222,3 +223,87 @@ def test_known_authors_against_all_pairs(spark):
             best[r.n] = max(best.get(r.n, (0, "")), (2.0 if r.same else r.sim, r.a))
     assert {n: c for n, (c, _) in got.items() if c} == {n: a for n, (_, a) in best.items()}
     assert got["Gbriel Mrquez"] == ("Gabriel Marquez", 0.866667)
+
+
+def test_csv_files_by_their_own_delimiter(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name;note;\nAna;"x;y, z";1\n;;\nLuis;;2\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("k\tv\n1\tuno\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("", encoding="utf-8")
+    rows = files.reader_for("x/a.CSV")(spark, str(tmp_path)).collect()
+    got = sorted((r.path.rsplit("/", 1)[-1], r.pos, r.block) for r in rows)
+    assert got == [("a.csv", 0, "name: Ana; note: x;y, z; Columna_3: 1"), ("a.csv", 2, "name: Luis; Columna_3: 2"), ("b.csv", 0, "k: 1; v: uno")]
+    assert files.delimiter("plain") == "," and files.delimiter("a|b;c|d") == "|"
+
+
+def office_file(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_docx_properties_and_bad_files(spark):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Hola</w:t></w:r></w:p></w:body></w:document>'
+    core = '<c:coreProperties xmlns:c="c" xmlns:d="d"><d:title>Obra</d:title><d:creator>Ana</d:creator><c:keywords/></c:coreProperties>'
+    good = office_file({"word/document.xml": body, "docProps/core.xml": core})
+    f = spark.createDataFrame([("a.docx", bytearray(good)), ("b.docx", bytearray(b"no zip"))], "path string, content binary")
+    got = {r.path: r for r in files.docx_files(f).collect()}
+    assert got["a.docx"].text == "Hola" and got["b.docx"].style == "error" and "BadZipFile" in got["b.docx"].text
+    p = {r.path: r for r in files.docx_properties(f).collect()}
+    assert (p["a.docx"].title, p["a.docx"].author, p["a.docx"].keywords) == ("Obra", "Ana", None) and p["b.docx"].title is None
+
+
+def test_xlsx_sheets_by_relation_and_bad_sheets(spark):
+    s, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    book = f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="Uno" r:id="x"/><sheet name="Mala" r:id="y"/></sheets></workbook>'
+    rels = '<Relationships xmlns="p"><Relationship Id="x" Target="worksheets/other.xml"/><Relationship Id="y" Target="worksheets/bad.xml"/></Relationships>'
+    sheet = f'<worksheet xmlns="{s}"><sheetData><row><c r="A1" t="inlineStr"><is><t>k</t></is></c></row><row><c r="A2"><v>7</v></c></row></sheetData></worksheet>'
+    book = office_file({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/other.xml": sheet, "xl/worksheets/bad.xml": "<broken"})
+    f = spark.createDataFrame([("a.xlsx", bytearray(book)), ("b.xlsx", bytearray(b""))], "path string, content binary")
+    got = [(r.path, r.sheet, r.kind, r.block) for r in files.xlsx_files(f).orderBy("path", "sheet", "pos").collect()]
+    assert [g[:3] for g in got] == [("a.xlsx", "Mala", "error"), ("a.xlsx", "Uno", "title"), ("a.xlsx", "Uno", "header"), ("a.xlsx", "Uno", "row"), ("b.xlsx", "", "error")]
+    assert got[3][3] == "k: 7"
+
+
+def test_log_entries(spark):
+    log = "before\n2024-01-02 03:04:05,678 - ERROR para archivo a/b.txt: NameError: x\n  more TypeError\n2024-01-02 03:04:06,000 done\n2024-01-02 03:04:07 no millis"
+    got = [tuple(r) for r in jobs.log_entries(spark.createDataFrame([(log,)], ["t"]), "t").orderBy("ts").collect()]
+    assert got == [
+        ("2024-01-02 03:04:05,678", "a/b.txt", "NameError", "- ERROR para archivo a/b.txt: NameError: x\n  more TypeError"),
+        ("2024-01-02 03:04:06,000", "Desconocido", "other", "done"),
+    ]
+
+
+def test_sizes_round_as_written(spark):
+    assert one(spark, T.format_size(F.col("n")), n=1280) == "1.2 KB" and one(spark, T.format_size(F.col("n")), n=1331) == "1.3 KB"
+    assert one(spark, T.format_duration(F.col("n")), n=0.0125) == "12ms" and one(spark, T.format_duration(F.col("n")), n=5400.0) == "1.5h"
+
+
+def test_store_and_writers(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a\x00b"), (2, None)], "id int, text string")
+    sinks.write_ndjson(sinks.json_lines(d), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    sinks.store(d, d, str(tmp_path / "s"))
+    sinks.store(d, d, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s/segments")).count() == 4
+
+
+def test_own_readers_and_segmenters(spark):
+    files.register_reader(".abc", "abc", lambda s, p: p)
+    assert files.reader_for("z.abc")(None, "z.abc") == "z.abc" and files.reader_for("z.unknown") is None
+    segment.register_segmenter("own", lambda d, k, t: d.select(k, t))
+    assert segment.SEGMENTERS.pop("own") is not None
+
+
+def test_shared_tokens_and_snippets(spark):
+    assert one(spark, authors.shares_tokens(F.col("a"), F.col("b")), a="Ana López Ruiz", b="lopez ana") and not one(spark, authors.shares_tokens(F.col("a"), F.col("b")), a="Ana López", b="Ana Ruiz")
+    hits = search.reshaped(spark.createDataFrame([("x" * 400, 0.25)], ["t", "similarity"]), "t").first()
+    assert hits.snippet == "x" * 360 + "..." and hits.score == 75
+    assert one(spark, V.unit(F.col("v")), v=[3.0, 4.0]) == [0.6, 0.8]
+
+
+def test_top_patterns(spark):
+    e = spark.createDataFrame([("a", "m")] * 3 + [("b", "n")], ["k", "m"])
+    assert [tuple(r) for r in jobs.top_patterns(e, "k", "m", 1).collect()] == [("a: m", 3)]

@@ -36,9 +36,8 @@ def test_oracle(spark, duck, name):
     assert rows(mine) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql is None])
-def test_runs(spark, name):
-    assert QUERIES[name].run(spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert [n for n, q in QUERIES.items() if q.sql is None] == []
 
 
 def test_entry(spark):

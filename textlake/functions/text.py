@@ -91,22 +91,27 @@ def context(c: Column, at: Column, size: Column, around: int = 50) -> Column:
     return F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), body, F.when(end < F.length(c), F.lit("...")).otherwise(F.lit("")))
 
 
+def fixed(c: Column, unit: str) -> Column:
+    """One decimal, halves to the even digit, and the unit."""
+    return F.concat(F.format_string("%.1f", F.bround(c.cast("decimal(38,20)"), 1).cast("double")), F.lit(unit))
+
+
 def format_duration(seconds: Column) -> Column:
     return (
-        F.when(seconds < 1, F.format_string("%.0fms", seconds * 1000))
-        .when(seconds < 60, F.format_string("%.1fs", seconds))
-        .when(seconds < 3600, F.format_string("%.1fm", seconds / 60))
-        .otherwise(F.format_string("%.1fh", seconds / 3600))
+        F.when(seconds < 1, F.concat(F.bround((seconds * 1000).cast("decimal(38,20)"), 0).cast("long").cast("string"), F.lit("ms")))
+        .when(seconds < 60, fixed(seconds, "s"))
+        .when(seconds < 3600, fixed(seconds / 60, "m"))
+        .otherwise(fixed(seconds / 3600, "h"))
     )
 
 
 def format_size(n: Column) -> Column:
     d = n.cast("double")
     return (
-        F.when(d < 1024, F.format_string("%.1f B", d))
-        .when(d < 1024**2, F.format_string("%.1f KB", d / 1024))
-        .when(d < 1024**3, F.format_string("%.1f MB", d / 1024**2))
-        .otherwise(F.format_string("%.1f GB", d / 1024**3))
+        F.when(d < 1024, fixed(d, " B"))
+        .when(d < 1024**2, fixed(d / 1024, " KB"))
+        .when(d < 1024**3, fixed(d / 1024**2, " MB"))
+        .otherwise(fixed(d / 1024**3, " GB"))
     )
 
 

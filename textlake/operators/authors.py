@@ -44,11 +44,15 @@ def is_section(c: Column) -> Column:
     return F.lower(c).rlike(SECTIONS)
 
 
+def _names(text: Column) -> Column:
+    """Names that a text gives as its author's: valid as they stand, cleaned, as often as they are given."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in ATTRIBUTIONS]))
+    return F.transform(F.filter(found, valid_name), T.clean_name)
+
+
 def attributions(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, name, n): names that the text gives as its author's, each spelling cleaned and valid."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in ATTRIBUTIONS]))
-    names = docs.select(key, F.explode_outer(found).alias("raw")).where("raw IS NOT NULL")
-    names = names.withColumn("name", T.clean_name(F.col("raw"))).where(valid_name(F.col("raw")))
+    names = docs.select(key, F.explode_outer(_names(F.col(text))).alias("name")).where("name IS NOT NULL")
     return names.groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -106,13 +110,17 @@ def confidence(morph: Column, context: Column, cross: Column, position: Column,
 
 
 def attribute(docs: DataFrame, key: str, text: str, least: float = 0.0) -> DataFrame:
-    """(key, author, confidence): the best contextual candidate of each document."""
-    c = attributions(docs, key, text).join(docs.select(key, text), key)
-    place = F.call_function("locate", F.col("name"), F.col(text)) / F.greatest(F.length(text), F.lit(1))
-    t, n = F.col(text), F.col("name")
-    c = c.withColumn("confidence", F.round(confidence(morphology(n), contextual(t, n), cross_validation(t, n), positional(place), F.col("n")), 6))
-    best = c.groupBy(key).agg(F.max(F.struct("confidence", "name")).alias("_b"))
-    return best.select(key, F.col("_b.name").alias("author"), F.col("_b.confidence").alias("confidence")).where(F.col("confidence") >= least)
+    """(key, author, confidence): the best contextual candidate of each document, scored where its text lies."""
+    t = F.col(text)
+
+    def scored(n: Column) -> Column:
+        place = F.call_function("locate", n, t) / F.greatest(F.length(t), F.lit(1))
+        times = F.size(F.filter("_names", lambda x: x == n))
+        return F.struct(F.round(confidence(morphology(n), contextual(t, n), cross_validation(t, n), positional(place), times), 6).alias("confidence"), n.alias("name"))
+
+    best = F.array_max(F.transform(F.array_distinct("_names"), scored))
+    d = docs.withColumn("_names", _names(t)).where(F.size("_names") > 0).select(key, best.alias("_b"))
+    return d.select(key, F.col("_b.name").alias("author"), F.col("_b.confidence").alias("confidence")).where(F.col("confidence") >= least)
 
 
 def fallback_score(n: Column, first: Column, in_title: Column, known: Column) -> Column:
@@ -184,13 +192,17 @@ def choose(candidates: DataFrame, key: str, least: float = 0.7, title: str | Non
     return best.select(key, F.col("_r.name").alias("author"), F.round("_r.final", 6).alias("confidence"), "_r.method", "_r.agree").where(F.col("confidence") >= least)
 
 
-def literary(docs: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+def literary(docs: DataFrame, key: str, text: str, dictionary: DataFrame, most: int = 10_000) -> DataFrame:
     """(key, author, score, markers): style markers (0.2 each) and works (0.3 each) that a text names.
-    ``dictionary``: (author, markers, works), a list kept by hand, small enough for Spark to broadcast by itself."""
+    ``dictionary``: (author, markers, works), a list kept by hand of at most ``most`` entries; it goes to the texts
+    as one row, and only what a text names leaves it."""
     d = dictionary.select("author", F.explode(F.concat(F.transform("markers", lambda m: F.struct(F.lower(m).alias("w"), F.lit(0.2).alias("p"))), F.transform("works", lambda m: F.struct(F.lower(m).alias("w"), F.lit(0.3).alias("p"))))).alias("_d"))
-    d = d.select("author", "_d.w", "_d.p", F.regexp_extract("_d.w", r"^(\S+)", 1).alias("_first"))
-    words = docs.select(key, F.lower(text).alias("_low")).withColumn("_first", F.explode(F.array_distinct(F.split("_low", r"[^\p{L}]+"))))
-    hit = words.join(d, "_first").where(F.contains("_low", F.col("w")))
+    d = d.select("author", "_d.w", "_d.p", F.regexp_extract("_d.w", r"^(\S+)", 1).alias("first"))
+    if d.limit(most + 1).count() > most:
+        raise ValueError(f"a dictionary of more than {most} entries is no list kept by hand")
+    entries = F.broadcast(d.agg(F.collect_list(F.struct("author", "w", "p", "first")).alias("_entries")))
+    low = docs.select(key, F.lower(text).alias("_low")).withColumn("_words", F.array_distinct(F.split("_low", r"[^\p{L}]+"))).join(entries)
+    hit = low.select(key, F.explode(F.filter("_entries", lambda x: F.contains(F.col("_low"), x["w"]) & F.array_contains(F.col("_words"), x["first"]))).alias("_x")).select(key, "_x.*")
     return hit.groupBy(key, "author").agg(F.least(F.sum("p"), F.lit(1.0)).alias("score"), F.sort_array(F.collect_set("w")).alias("markers"))
 
 

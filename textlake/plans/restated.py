@@ -114,11 +114,17 @@ _VOTES = {
     "es": ("de", "la", "que", "el", "en", "los", "las", "por", "con", "una"),
     "fr": ("le", "la", "les", "de", "et", "un", "une", "dans", "pour", "que"),
 }
-SQL["language_vote"] = (
-    "WITH h AS (SELECT doc_id, text, regexp_extract_all(lower(left(text, 1000)), '\\p{L}+') AS w FROM documents), v AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, '{lang}' AS lang, len(list_filter(w, lambda x: x IN {ws})) AS n FROM h" for lang, ws in _VOTES.items())
-    + f"), b AS (SELECT doc_id, max((n, lang)) AS best FROM v GROUP BY doc_id) SELECT h.doc_id, CASE WHEN length({strip('h.text')}) < 20 OR best[1] = 0 THEN 'und' ELSE best[2] END AS lang FROM h JOIN b USING (doc_id)"
-)
+
+
+def language_vote(text: str) -> str:
+    return (
+        f"WITH h AS (SELECT doc_id, {text} AS text, regexp_extract_all(lower(left({text}, 1000)), '\\p{{L}}+') AS w FROM documents), v AS ("
+        + " UNION ALL ".join(f"SELECT doc_id, '{lang}' AS lang, len(list_filter(w, lambda x: x IN {ws})) AS n FROM h" for lang, ws in _VOTES.items())
+        + f"), b AS (SELECT doc_id, max((n, lang)) AS best FROM v GROUP BY doc_id) SELECT h.doc_id, CASE WHEN length({strip('h.text')}) < 20 OR best[1] = 0 THEN 'und' ELSE best[2] END AS lang FROM h JOIN b USING (doc_id)"
+    )
+
+
+SQL["language_vote"] = language_vote("text")
 
 _CHARS = "SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''"
 _RUNS = (
@@ -155,8 +161,8 @@ _MERGES = (
     f"(a[-1] <> '' AND length(a[-1]) <= 500 AND NOT {_TITLE.format(t='b[1]', w=words('b[1]'))} AND (lower(regexp_extract(a[-1], '({NOT_WS}+)$', 1)) IN ({_RUN_ON}) OR (NOT regexp_matches(a[-1], '[.!?:;]$') AND regexp_matches(b[1], '^\\p{{Ll}}'))))"
 )
 SQL["merged_lines"] = (
-    f"WITH m AS (SELECT doc_id, list_reduce(list_transform({full_lines('text')}, lambda s: [s]), lambda a, b: CASE WHEN {_MERGES} THEN a[:-2] || [a[-1] || {_SEPARATOR.format(a='a[-1]', b='b[1]')} || b[1]] ELSE a || b END) AS p"
-    f" FROM documents WHERE len({full_lines('text')}) > 0) SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, unnest(p) AS paragraph FROM m"
+    f"WITH o AS (SELECT doc_id, regexp_replace(text, ' (de|que|en|y|a|the|of) ', ' \\1' || chr(10), 'g') AS text FROM documents), m AS (SELECT doc_id, list_reduce(list_transform({full_lines('text')}, lambda s: [s]), lambda a, b: CASE WHEN {_MERGES} THEN a[:-2] || [a[-1] || {_SEPARATOR.format(a='a[-1]', b='b[1]')} || b[1]] ELSE a || b END) AS p"
+    f" FROM o WHERE len({full_lines('text')}) > 0) SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, unnest(p) AS paragraph FROM m"
 )
 
 _PACK = "a[-1] = '' OR length(a[-1]) > 300 OR starts_with(b[1], '—')"

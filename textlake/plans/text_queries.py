@@ -142,7 +142,8 @@ def without_running_heads(t):
 
 @query("CLN-07 CLN-08 CLN-09 CLN-10 CLN-11 CLN-12 WIN-02 STR-13")
 def merged_lines(t):
-    return t("documents").select("doc_id", F.posexplode(clean.merge_lines(F.split("text", "\n"))).alias("pos", "paragraph"))
+    broken = F.regexp_replace("text", " (de|que|en|y|a|the|of) ", " $1\n")
+    return t("documents").select("doc_id", F.posexplode(clean.merge_lines(F.split(broken, "\n"))).alias("pos", "paragraph"))
 
 
 @query("CLN-13", f"SELECT doc_id, pos, length(line) <= 100 AND regexp_matches(line, '^\\p{{Lu}}') AND len(regexp_extract_all(line, '[^ \\t\\n\\r\\f\\v]+')) <= 5 AND len(list_filter(regexp_extract_all(line, '[^ \\t\\n\\r\\f\\v]+'), lambda w: regexp_matches(w, '^\\p{{Lu}}'))) > 0.6 * len(regexp_extract_all(line, '[^ \\t\\n\\r\\f\\v]+')) AS title FROM ({LINES})")
@@ -646,7 +647,7 @@ def markdown_notes(t):
     return segment.notes(d, "doc_id", "text")
 
 
-@query("SEG-36 SNK-02 AUT-35", f"WITH {_PARAGRAPHS}, v AS ({restated.SQL['language_vote']}) SELECT sha256(sha256(text) || '-' || segment_order) AS segment_id, sha256(text) AS document_id, segment AS text, kind AS segment_type, segment_order, length(segment) AS text_length, source AS source_file_path, coalesce(nullif(v.lang, 'und'), 'unknown') AS document_language, 'src ' || source AS author FROM s JOIN v USING (doc_id)")
+@query("SEG-36 SNK-02 AUT-35", f"WITH {_PARAGRAPHS}, v AS ({restated.language_vote(_DOUBLED)}) SELECT sha256(sha256(text) || '-' || segment_order) AS segment_id, sha256(text) AS document_id, segment AS text, kind AS segment_type, segment_order, length(segment) AS text_length, source AS source_file_path, coalesce(nullif(v.lang, 'und'), 'unknown') AS document_language, 'src ' || source AS author FROM s JOIN v USING (doc_id)")
 def segments_enriched(t):
     d = _doubled(t)
     e = segment.enriched(segment.library_segments(d, "doc_id", "text"), d, "doc_id", "text", "source")
