@@ -761,9 +761,15 @@ def test_huge_buckets(spark, monkeypatch):
     family = [change(base, rng.randrange(1, 9)) for _ in range(20)] + [change(base, 14) for _ in range(6)]
     far = [change(base, 60) for _ in range(6)]
     sets = dict(enumerate([*family, *far, *[change(f, 5) for f in far[:3]]]))
-    rows = [(1, h, passage_dedup.packed(np.array(s, np.uint64)), len(sets), sum(map(len, sets.values())), 0) for h, s in sets.items()]
-    links = passage_dedup._huge_links(spark.createDataFrame(rows, "key long, h long, s binary, c long, t long, pivot long"), 0.8)
-    star = {r.u: r.v for r in components.connected(links).collect()}
+    keys = {h: passage_dedup._keys(passage_dedup.minima(np.array(x, np.uint64), np.array([len(x)])), passage_dedup._BAND_ROWS).view(np.int64)[0].tolist() for h, x in sets.items()}
+    for bucket in (keys, {h: [7, *k] for h, k in keys.items()}):  # by their own bands, and all in one bucket too
+        lines = spark.createDataFrame([(h, len(x), bucket[h]) for h, x in sets.items()], "h long, n int, k array<long>")
+        packed = spark.createDataFrame([(h, passage_dedup.packed(np.array(x, np.uint64))) for h, x in sets.items()], "h long, s binary")
+        star = {r.u: r.v for r in passage_dedup.line_components(lines, packed, 0.8).collect()}
+    rows = [(1, h, passage_dedup.packed(np.array(x, np.uint64)), h < 20 and h % 2 == 0, len(sets), sum(map(len, sets.values()))) for h, x in sets.items()]
+    groups = passage_dedup._blocks(spark.createDataFrame(rows, "key long, h long, s binary, near boolean, c long, t long")).collect()
+    met = {frozenset((a.h, b.h)) for k in {g.key for g in groups} for a in groups if a.key == k for b in groups if b.key == k}
+    assert all(frozenset((a, b)) in met for a in sets for b in sets if a != b and not (a < 20 and a % 2 == 0 and b < 20 and b % 2 == 0))
     similar = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
     assert {h: star.get(h, h) for h in sets} == brute_components(sets, similar)
 

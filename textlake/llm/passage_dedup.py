@@ -140,9 +140,11 @@ def _similar(a: frozenset, b: frozenset, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _forest(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of at least ``similarity`` exact Jaccard, comparing all not yet joined."""
-    root = list(range(len(sets)))
+def _forest(sets: list[frozenset], similarity: float, joined: list[bool]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of at least ``similarity`` Jaccard, comparing all not yet joined; those
+    ``joined`` are so from the outset."""
+    first = joined.index(True) if True in joined else 0
+    root = [first if j else i for i, j in enumerate(joined)]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -163,22 +165,23 @@ def _forest(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
 
 
 def _verify(groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) from groups of (h, s) of bounded size."""
+    """(a, b) from groups of (h, s, near) of bounded size; those near are joined already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
                 hashes, sets = batch.column(0)[at].as_py(), [_set(s) for s in batch.column(1)[at]]
-                pairs = _forest(sets, similarity)
+                pairs = _forest(sets, similarity, batch.column(2)[at].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([hashes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    packed = groups.groupBy("key").agg(F.collect_list(F.struct("h", "s")).alias("m")).where(F.size("m") > 1)
-    return packed.select(F.col("m.h").alias("hs"), F.col("m.s").alias("ss")).mapInArrow(run, "a long, b long")
+    packed = groups.groupBy("key").agg(F.collect_list(F.struct("h", "s", "near")).alias("m")).where(F.size("m") > 1)
+    return packed.select(F.col("m.h").alias("hs"), F.col("m.s").alias("ss"), F.col("m.near").alias("nears")).mapInArrow(run, "a long, b long")
 
 
 def _counted(members: DataFrame) -> DataFrame:
-    """(key, h, m) with the lines ``c`` and shingles ``t`` of their bucket, where it has several lines."""
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("t"), F.min("h").alias("pivot")).where("c > 1")
+    """(key, h, m, near) with the lines ``c`` and shingles ``t`` of their bucket, where it has several lines that
+    aren't all near."""
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("t"), F.min("h").alias("pivot"), F.bool_and("near").alias("done")).where("c > 1 AND NOT done").drop("done")
     counts = counts.withColumnRenamed("key", "_key")
     return members.join(counts, F.col("key") == F.col("_key")).drop("_key")
 
@@ -187,44 +190,29 @@ def _fits() -> Column:
     return (F.col("c") <= TOGETHER) & ((F.col("t") <= SHINGLES_TOGETHER) | (F.col("c") == 2))
 
 
-def _huge_links(huge: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of buckets (key, h, s, c, t, pivot) of any size. All lines are held against their bucket's pivot first:
-    those similar to it are joined by it, so among themselves they need no comparison. Only the others are
-    compared, block by block, with all blocks."""
+def _beside_pivot(large: DataFrame, similarity: float) -> DataFrame:
+    """(key, h, s, pivot, near) of buckets (key, h, s, pivot) of any size: each line is held against its bucket's
+    pivot, one comparison a line. Those near are joined by the pivot and need none among themselves."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes = [_similar(_set(a), _set(b), similarity) for a, b in zip(batch.column(2), batch.column(5))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(yes, pa.bool_())], ["key", "h", "s", "n", "pivot", "near"])
-
-    blocks = F.ceil(F.greatest(F.col("c") / TOGETHER, F.col("t") / SHINGLES_TOGETHER)).cast("long")
-    pivots = huge.where("h = pivot").select(F.col("key").alias("_key"), F.col("s").alias("ps"))
-    beside = huge.join(pivots, F.col("key") == F.col("_key")).select("key", "h", "s", blocks.alias("n"), "pivot", "ps")
-    held = materialize(beside.mapInArrow(near, "key long, h long, s binary, n long, pivot long, near boolean"))
-    out = held.where("near AND h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b"))
-    far = held.where("NOT near")
-    if not far.limit(1).count():
-        return out
-    # a block of far lines meets each block of its bucket: far ones once for each pair of blocks, near ones as they are
-    own = held.withColumn("own", F.pmod(F.xxhash64("h"), F.col("n")))
-    numbers = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
-    tasks = far.select("key", F.pmod(F.xxhash64("h"), F.col("n")).alias("f"), "n").distinct().select(F.col("key").alias("_key"), "f", F.explode(numbers).alias("o"))
-    meets = (F.col("key") == F.col("_key")) & (((F.col("f") == F.col("own")) & ~F.col("near")) | (F.col("o") == F.col("own")))
-    met = own.join(tasks, meets).select(F.xxhash64("key", "f", "o").alias("key"), "h", "s")
-    return out.unionByName(_verify(met, similarity))
+            known: dict[bytes, frozenset] = {}
+            near = []
+            for s, p in zip(batch.column(2), batch.column(4).to_pylist()):
+                if p not in known:
+                    known = {p: frozenset(unpacked(p).tolist())}
+                near.append(_similar(_set(s), known[p], similarity))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(near, pa.bool_())], ["key", "h", "s", "pivot", "near"])
 
+    pivots = large.where("h = pivot").select(F.col("key").alias("_key"), F.col("s").alias("ps"))
+    beside = large.join(pivots, F.col("key") == F.col("_key")).select("key", "h", "s", "pivot", "ps")
+    return beside.mapInArrow(run, "key long, h long, s binary, pivot long, near boolean")
 
-def line_links(lines: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b), and the tables that they are read from: links between the hashes of different lines of at least
-    ``similarity``. ``lines``: (h, n: words, k: band keys); ``sets``: (h, s: packed shingle set), copies don't matter.
 
-    A band's bucket of bounded lines and shingles is compared whole. A larger one is divided by twenty more keys,
-    each of two neighbouring minima, of which two similar lines share one but for a chance below 1e-6; what is
-    still larger is held against a pivot, and only lines far from it are compared block by block. Nothing is
-    left out, no group is unbounded.
-    """
+def _divided(held: DataFrame) -> DataFrame:
+    """(key, h, m, near): buckets of ``held`` divided by twenty more keys, each of two neighbouring minima."""
 
-    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
@@ -232,27 +220,54 @@ def line_links(lines: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
                 sets = [unpacked(x.as_py()) for x in part.column(2)]
                 sizes = np.array(list(map(len, sets)), np.int32)
                 keys = _keys(minima(np.concatenate(sets), sizes), _FINER_ROWS, salt)
-                h = np.repeat(part.column(1).to_numpy(zero_copy_only=False), len(_FINER_ROWS))
-                m = np.repeat(sizes, len(_FINER_ROWS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h, pa.int64()), pa.array(m)], ["key", "h", "m"])
-
-    keyed = lines.select("h", F.col("n").alias("m"), F.explode("k").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"))
-    members = materialize(_counted(keyed.join(several, F.col("key") == F.col("_key")).select("key", "h", "m").distinct()))
-    wanted = members.select(F.col("h").alias("_h")).distinct()
-    # copies of a line have equal sets: any one serves
+                rows = pa.array(np.repeat(np.arange(len(part)), len(_FINER_ROWS)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(1).take(rows), pa.array(sizes).take(rows), part.column(4).take(rows)], ["key", "h", "m", "near"])
+
+    return held.mapInArrow(run, "key long, h long, m int, near boolean").distinct()
+
+
+def _blocks(huge: DataFrame) -> DataFrame:
+    """Groups (key, h, s, near) of bounded size in which each line of a bucket (key, h, s, near, c, t) that isn't near
+    meets every other one: its block with itself and with each other block."""
+    n = F.ceil(F.greatest(F.col("c") / TOGETHER, F.col("t") / SHINGLES_TOGETHER)).cast("long")
+    own = huge.select("key", "h", "s", "near", n.alias("n"), F.pmod(F.xxhash64("h"), n).alias("own"))
+    tasks = own.where("NOT near").select(F.col("key").alias("_key"), F.col("own").alias("f"), "n").distinct()
+    tasks = tasks.select("_key", "f", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("o"))
+    meets = (F.col("key") == F.col("_key")) & (((F.col("f") == F.col("own")) & ~F.col("near")) | (F.col("o") == F.col("own")))
+    return own.join(tasks, meets).select(F.xxhash64("key", "f", "o").alias("key"), "h", "s", "near")
+
+
+def line_links(lines: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b), and the tables that they are read from: links between the hashes of different lines of at least
+    ``similarity``. ``lines``: (h, n: words, k: band keys); ``sets``: (h, s: packed shingle set), copies don't matter.
+
+    A band's bucket of bounded lines and shingles is compared whole. In a larger one every line is held against a
+    pivot first; what is far from it meets the others in buckets of twenty more keys, of which two similar lines
+    share one but for a chance below 1e-6, and where these are still too large, block by block. Nothing is left
+    out, no group is unbounded, and a family of near copies costs as much as it has lines.
+    """
+    keyed = lines.select("h", F.col("n").alias("m"), F.explode("k").alias("key"), F.lit(False).alias("near"))
+    # written first: where few keys hold several lines, the planner sends them to the lines instead of dealing all out
+    several = materialize(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key")))
+    members = materialize(_counted(keyed.join(several, F.col("key") == F.col("_key")).select("key", "h", "m", "near").distinct()))
+    wanted = materialize(members.select(F.col("h").alias("_h")).distinct())
     sets = materialize(sets.join(wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"]))
+    written = [several, members, wanted, sets]
     full = lambda m: m.join(sets.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).drop("_h")
-    out, written = _verify(full(members.where(_fits())), similarity), [members, sets]
+    out = _verify(full(members.where(_fits())), similarity)
     large = members.where(~_fits())
     if large.limit(1).count():
-        parts = materialize(_counted(full(large.select("key", "h")).mapInArrow(divide, "key long, h long, m int").distinct()))
-        out = out.unionByName(_verify(full(parts.where(_fits())), similarity))
-        huge = parts.where(~_fits())
-        written.append(parts)
-        if huge.limit(1).count():
-            written.append(materialize(full(huge)))
-            out = out.unionByName(_huge_links(written[-1], similarity))
+        held = materialize(_beside_pivot(full(large), similarity))
+        written.append(held)
+        out = out.unionByName(held.where("near AND h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")))
+        open_ = held.where("NOT near").select(F.col("key").alias("_key")).distinct()
+        if open_.limit(1).count():
+            parts = materialize(_counted(_divided(held.join(open_, F.col("key") == F.col("_key"), "left_semi"))))
+            written.append(parts)
+            out = out.unionByName(_verify(full(parts.where(_fits())), similarity))
+            huge = parts.where(~_fits())
+            if huge.limit(1).count():
+                out = out.unionByName(_verify(_blocks(full(huge)), similarity))
     return out, written
 
 
