@@ -1,11 +1,12 @@
 """The pipeline against the same stages done by hand."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
-from textlake.llm import line_quality
+from textlake.llm import line_quality, mixing
 
-from test_training_operators import SF, brute_components, brute_fingerprint, brute_leaks, brute_targets, WORD
+from test_training_operators import SCHEMA, SF, hard_rows, table, words, brute_components, brute_fingerprint, brute_leaks, brute_targets, WORD
 
 
 def test_pipeline(spark):
@@ -45,3 +46,40 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def hard_folder(spark, path, rows):
+    """A folder of tables: hard documents with clashing columns, a benchmark and labels."""
+    docs = table(spark, rows) if rows else table(spark, hard_rows()).where("doc_id = 0")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, None), (5, 0)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "un texto de prueba muy corto"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    rng = random.Random(41)
+    clean, other = words(rng, 90), words(rng, 70)
+    leak = f"{words(rng, 60)} un texto de prueba muy corto {words(rng, 20)}"
+    rows = [*hard_rows(), (20, clean, "en", "a"), (20, clean, "en", "a"), (21, clean, "de", "b"), (20, other, "en", "a"), (None, words(rng, 80), None, None), (22, leak, "en", "a"), (22, words(rng, 75), "en", "c")]
+    sf = hard_folder(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == SCHEMA.replace("`", "").replace(",", "").split()[::2]
+    out = corpus_pipeline.run(spark, sf).collect()
+    ids = Counter(r.doc_id for r in out)
+    # 5: long; 20: one of the copies and the other text of that id; the row without an id; 22: only the row that doesn't leak
+    assert set(ids) == {5, 20, None, 22} and all(n <= 4 for n in ids.values())
+    assert {r.text_crc32 for r in out if r.doc_id == 22} == {__import__("zlib").crc32(rows[-1][1].encode())}
+    assert sorted(ids.items(), key=str) == sorted(Counter(r.doc_id for r in docs.collect()).items(), key=str)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, hard_folder(spark, tmp_path, [])).count() == 0
+
+
+def test_mixture_is_the_mix(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = Counter(r.doc_id for r in mixing.mix(docs).collect() for _ in range(r.copies))
+    assert want == Counter(r.doc_id for r in corpus_pipeline.mixture(spark, docs, SF).collect())

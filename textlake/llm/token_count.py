@@ -11,6 +11,7 @@ the start state. Maps compose associatively, and a text's count is the prefix sc
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,10 +34,10 @@ STATES_KEPT = 300_000
 # The tokenizer's word pattern and its white space (that of its regular expressions)
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 #: Characters beyond those that this Python, its regular expressions and the tokenizer's library are known to treat
 #: alike (tests compare all of them); texts that have any are normalised, and their words split, by the library.
-RARE = regex.compile(r"[^\x00-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u2122]")
+RARE = re.compile(r"[^\x00-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u2122]")
 LETTER, NUMBER = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 LAST = 256  # added to a byte that ends a word
 
@@ -288,7 +289,7 @@ class Counter:
             at = (at if near is None else near) + CHUNK
         return [*out, (len(text), False)]
 
-    def chunk_map(self, chunk: str, open_left: bool, open_right: bool) -> Map:
+    def chunk_map(self, chunk: str, open_left: bool, open_right: bool, rare: bool = True) -> Map:
         head = 0
         if open_left:
             kind = self.kind(chunk[0])
@@ -305,7 +306,7 @@ class Counter:
             tail, emitted = self.machine.walk(self.machine.start, last.encode())
             total = emitted + sum([self.machine.count(p.encode()) for p in closed])
             rest = rest[:begin]
-        words = SPACE.split(rest) if ODD_SPACE.search(rest) or RARE.search(rest) else rest.split()
+        words = SPACE.split(rest) if rare or ODD_SPACE.search(rest) else rest.split()
         known, word = self.words, self.word
         total += sum([known[w] if w in known else word(w) for w in words if w])
         return Map((), chunk[:head].encode(), total, tail)
@@ -319,7 +320,8 @@ class Counter:
         return Map(a.inside, a.head, a.count + emitted, state)
 
     def _plain(self, text: str) -> int:
-        if RARE.search(text):
+        rare = not text.isascii() and RARE.search(text) is not None
+        if rare:
             text = self.normalizer.normalize_str(text)
         else:
             if not unicodedata.is_normalized("NFC", text):
@@ -328,7 +330,7 @@ class Counter:
         maps, at, open_left = [], 0, False
         for end, open_right in self.cuts(text):
             if end > at:
-                maps.append(self.chunk_map(text[at:end], open_left, open_right))
+                maps.append(self.chunk_map(text[at:end], open_left, open_right, rare))
             at, open_left = end, open_right
         while len(maps) > 1:  # the scan's up-sweep: neighbours join, level by level
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
