@@ -168,6 +168,12 @@ def test_stream_registers_once(spark, tmp_path):
     run()
     got = spark.read.parquet(store)
     assert sorted(r.file_path for r in got.collect()) == ["a", "b", "e"]
+    new = str(tmp_path / "compacted")
+    assert sorted(r.file_path for r in incremental.compacted(spark, store, new).collect()) == ["a", "b", "e"] and len(list((tmp_path / "compacted").glob("batch=*"))) == 1
+    store = new  # the stream goes on from the compacted registry
+    spark.createDataFrame([("f", "z"), ("g", "w")], ["path", "text"]).write.mode("append").parquet(src)
+    run()
+    assert sorted(r.file_path for r in spark.read.parquet(new).collect()) == ["a", "b", "e", "g"]
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -33,6 +33,15 @@ def register_new(stream: DataFrame, text: str, path: str, store: str, checkpoint
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def compacted(spark: SparkSession, store: str, to: str, files: int = 200) -> DataFrame:
+    """Writes the registry at ``store``, one folder a batch, anew to ``to``: each hash once, in at most ``files`` files, all
+    as of the last batch, so a stream with the same checkpoint goes on there. ``store`` stays as it is."""
+    seen = spark.read.schema("hash string, file_path string, batch long").parquet(store)
+    last = seen.agg(F.max("batch")).first()[0]
+    seen.groupBy("hash").agg(F.min("file_path").alias("file_path")).coalesce(files).write.mode("overwrite").parquet(os.path.join(to, f"batch={last}"))
+    return spark.read.schema("hash string, file_path string, batch long").parquet(to)
+
+
 def distinct_within(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     """Copies that arrive within ``delay`` go; the state is bounded by the watermark."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
