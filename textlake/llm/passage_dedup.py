@@ -36,6 +36,8 @@ BANDS, ROWS = 7, 3
 #: Lines, and shingles of lines, of a bucket that are compared as one group; larger buckets are divided, none is cut.
 TOGETHER = 256
 SHINGLES_TOGETHER = 1 << 20
+#: Lines that each line of a larger bucket is held against, and how many lines far from them meet all others at once.
+PIVOTS, FEW = 6, 64
 #: Bytes of a shingle's hash in a set: two lines of a and b shingles have a * b / 2**40 in common by chance.
 BYTES = 5
 
@@ -181,7 +183,7 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
 def _counted(members: DataFrame) -> DataFrame:
     """(key, h, m, near) with the lines ``c`` and shingles ``t`` of their bucket, where it has several lines that
     aren't all near."""
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("t"), F.min("h").alias("pivot"), F.bool_and("near").alias("done")).where("c > 1 AND NOT done").drop("done")
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("t"), F.bool_and("near").alias("done")).where("c > 1 AND NOT done").drop("done")
     counts = counts.withColumnRenamed("key", "_key")
     return members.join(counts, F.col("key") == F.col("_key")).drop("_key")
 
@@ -190,23 +192,47 @@ def _fits() -> Column:
     return (F.col("c") <= TOGETHER) & ((F.col("t") <= SHINGLES_TOGETHER) | (F.col("c") == 2))
 
 
-def _beside_pivot(large: DataFrame, similarity: float) -> DataFrame:
-    """(key, h, s, pivot, near) of buckets (key, h, s, pivot) of any size: each line is held against its bucket's
-    pivot, one comparison a line. Those near are joined by the pivot and need none among themselves."""
+def _beside_pivots(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, h, s, m, mask, pivots) of buckets (key, h, m) of any size: each line is held against PIVOTS lines of its
+    bucket, and has a bit in ``mask`` for each that it is similar to. ``sets``: (_h, s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known = None, []
         for batch in batches:
-            known: dict[bytes, frozenset] = {}
-            near = []
-            for s, p in zip(batch.column(2), batch.column(4).to_pylist()):
-                if p not in known:
-                    known = {p: frozenset(unpacked(p).tolist())}
-                near.append(_similar(_set(s), known[p], similarity))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(near, pa.bool_())], ["key", "h", "s", "pivot", "near"])
-
-    pivots = large.where("h = pivot").select(F.col("key").alias("_key"), F.col("s").alias("ps"))
-    beside = large.join(pivots, F.col("key") == F.col("_key")).select("key", "h", "s", "pivot", "ps")
-    return beside.mapInArrow(run, "key long, h long, s binary, pivot long, near boolean")
+            masks = []
+            for k, s, pivots in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(5)):
+                if k != key:
+                    key, known = k, [_set(p) for p in pivots]
+                own = _set(s)
+                masks.append(sum(1 << i for i, p in enumerate(known) if _similar(own, p, similarity)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(masks, pa.int32()), batch.column(4)], ["key", "h", "s", "m", "mask", "pivots"])
+
+    least = [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), F.col("h").alias("h")))["h"].alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = large.groupBy("key").agg(*least).select(F.col("key").alias("_key"), F.posexplode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("i", "p"))
+    packs = pivots.join(sets, F.col("p") == F.col("_h")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("i", "p", "s"))).alias("x"))
+    packs = packs.select("_key", F.col("x.p").alias("pivots"), F.col("x.s").alias("ps"))
+    lines = large.join(sets, F.col("h") == F.col("_h")).select("key", "h", "s", "m")
+    beside = lines.join(packs.hint("merge"), F.col("key") == F.col("_key")).select("key", "h", "s", "m", "pivots", "ps")
+    return beside.mapInArrow(run, "key long, h long, s binary, m int, mask int, pivots array<long>")
+
+
+def _open_buckets(held: DataFrame) -> DataFrame:
+    """(_key, class, far, c, t) of the buckets of ``held`` that their pivots don't join whole: the pivots of the largest
+    joint class, as bits, and the lines that are similar to none of them. A bucket has 2 ** PIVOTS masks at most."""
+    masks = held.groupBy("key", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("t"))
+    per = masks.groupBy("key").agg(F.collect_list(F.struct("mask", "n")).alias("x"), F.sum("n").alias("c"), F.sum("t").alias("t"))
+
+    def closed(bit: int) -> Column:
+        joint = F.lit(bit)
+        for _ in range(PIVOTS):
+            joint = F.aggregate("x", joint, lambda acc, x: F.when(x["mask"].bitwiseAND(acc) != 0, acc.bitwiseOR(x["mask"])).otherwise(acc))
+        return joint
+
+    sized = lambda joint: F.struct(F.aggregate(F.filter("x", lambda x: x["mask"].bitwiseAND(joint) != 0), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"), joint.alias("class"))
+    for i in range(PIVOTS):
+        per = per.withColumn(f"j{i}", closed(1 << i))
+    per = per.withColumn("best", F.greatest(*[sized(F.col(f"j{i}")) for i in range(PIVOTS)]))
+    return per.where("best.n < c").select(F.col("key").alias("_key"), F.col("best.class").alias("class"), (F.col("c") - F.col("best.n")).alias("far"), "c", "t")
 
 
 def _divided(held: DataFrame) -> DataFrame:
@@ -221,9 +247,9 @@ def _divided(held: DataFrame) -> DataFrame:
                 sizes = np.array(list(map(len, sets)), np.int32)
                 keys = _keys(minima(np.concatenate(sets), sizes), _FINER_ROWS, salt)
                 rows = pa.array(np.repeat(np.arange(len(part)), len(_FINER_ROWS)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(1).take(rows), pa.array(sizes).take(rows), part.column(4).take(rows)], ["key", "h", "m", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(1).take(rows), pa.array(sizes).take(rows), part.column(3).take(rows)], ["key", "h", "m", "near"])
 
-    return held.mapInArrow(run, "key long, h long, m int, near boolean").distinct()
+    return held.select("key", "h", "s", "near").mapInArrow(run, "key long, h long, m int, near boolean").distinct()
 
 
 def _blocks(huge: DataFrame) -> DataFrame:
@@ -241,28 +267,38 @@ def line_links(lines: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
     """(a, b), and the tables that they are read from: links between the hashes of different lines of at least
     ``similarity``. ``lines``: (h, n: words, k: band keys); ``sets``: (h, s: packed shingle set), copies don't matter.
 
-    A band's bucket of bounded lines and shingles is compared whole. In a larger one every line is held against a
-    pivot first; what is far from it meets the others in buckets of twenty more keys, of which two similar lines
-    share one but for a chance below 1e-6, and where these are still too large, block by block. Nothing is left
-    out, no group is unbounded, and a family of near copies costs as much as it has lines.
+    A band's bucket of bounded lines and shingles is compared whole. In a larger one every line is held against
+    PIVOTS lines first. Those similar to one of the joint pivots are joined; what is far from all meets every other
+    line, block by block where it is FEW lines, else in buckets of twenty more keys, of which two similar lines
+    share one but for a chance below 1e-6, and by blocks where these are still too large. Nothing is left out, no
+    group is unbounded, and a family of near copies costs as much as it has lines.
     """
     keyed = lines.select("h", F.col("n").alias("m"), F.explode("k").alias("key"), F.lit(False).alias("near"))
-    # written first: where few keys hold several lines, the planner sends them to the lines instead of dealing all out
+    # what the links need grows with the lines: joined by one plan at every size, not broadcast where it is still small
     several = materialize(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key")))
-    members = materialize(_counted(keyed.join(several, F.col("key") == F.col("_key")).select("key", "h", "m", "near").distinct()))
-    wanted = materialize(members.select(F.col("h").alias("_h")).distinct())
-    sets = materialize(sets.join(wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"]))
-    written = [several, members, wanted, sets]
-    full = lambda m: m.join(sets.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).drop("_h")
+    sweep(several.sparkSession)
+    members = materialize(_counted(keyed.join(several.hint("merge"), F.col("key") == F.col("_key")).select("key", "h", "m", "near").distinct()))
+    discard(several)
+    sweep(several.sparkSession)
+    wanted = members.select(F.col("h").alias("_h")).distinct()
+    table = materialize(sets.join(wanted.hint("merge"), F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"]))
+    sweep(several.sparkSession)
+    written, sets = [members, table], table.withColumnRenamed("h", "_h")
+    full = lambda m: m.join(sets, F.col("h") == F.col("_h")).drop("_h")
     out = _verify(full(members.where(_fits())), similarity)
-    large = members.where(~_fits())
+    large = members.where(~_fits()).select("key", "h", "m")
     if large.limit(1).count():
-        held = materialize(_beside_pivot(full(large), similarity))
+        held = materialize(_beside_pivots(large, sets, similarity))
         written.append(held)
-        out = out.unionByName(held.where("near AND h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")))
-        open_ = held.where("NOT near").select(F.col("key").alias("_key")).distinct()
-        if open_.limit(1).count():
-            parts = materialize(_counted(_divided(held.join(open_, F.col("key") == F.col("_key"), "left_semi"))))
+        each = held.select("h", F.explode(F.filter("pivots", lambda p, i: F.getbit("mask", i) == 1)).alias("a"))
+        out = out.unionByName(each.where("a <> h").select("a", F.col("h").alias("b")))
+        open_ = materialize(_open_buckets(held))
+        written.append(open_)
+        rest = held.join(open_, F.col("key") == F.col("_key")).withColumn("near", F.col("mask").bitwiseAND(F.col("class")) != 0)
+        if open_.where(F.col("far") <= FEW).limit(1).count():
+            out = out.unionByName(_verify(_blocks(rest.where(F.col("far") <= FEW)), similarity))
+        if open_.where(F.col("far") > FEW).limit(1).count():
+            parts = materialize(_counted(_divided(rest.where(F.col("far") > FEW))))
             written.append(parts)
             out = out.unionByName(_verify(full(parts.where(_fits())), similarity))
             huge = parts.where(~_fits())
@@ -318,11 +354,11 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, row long, ws array<int>, wh array<long>, wc array<int>, ls array<int>, ln array<int>, lh array<long>, lk array<array<long>>, lset array<binary>")
 
 
-def _several(rows: DataFrame, cluster: str) -> DataFrame:
+def _several(rows: DataFrame, *cluster: str) -> DataFrame:
     """The clusters that stand in several documents, with the document whose copies stay. Nulls last: a null id
     stays only where there is no other."""
-    ends = rows.groupBy(cluster).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
-    return ends.where("first <> last OR (nameless AND first IS NOT NULL)").select(F.col(cluster).alias("_cluster"), "first")
+    ends = rows.groupBy(*cluster).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
+    return ends.where("first <> last OR (nameless AND first IS NOT NULL)").select(*[F.col(c).alias(f"_{c}") for c in cluster], "first")
 
 
 def _shared(docs: DataFrame, similarity: float) -> DataFrame:
@@ -334,18 +370,18 @@ def _shared(docs: DataFrame, similarity: float) -> DataFrame:
     star = line_components(lines, sets, similarity).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     own = each("ls", "ln", "lh").select("doc_id", "row", F.col("x.ls").alias("start"), F.col("x.ln").alias("n"), F.col("x.lh").alias("h"))
     own = own.join(star, F.col("h") == F.col("_u"), "left").select("doc_id", "row", "start", "n", F.coalesce("_v", "h").alias("cluster"))
-    own = own.join(materialize(_several(own, "cluster")), F.col("cluster") == F.col("_cluster")).select("doc_id", "row", "start", "n", "cluster", "first")
-    # windows that share a hash are few; only their places are dealt out, and held together by 96 bits: of the 1e13
-    # windows of 100 TB, 1e-3 pairs may agree by chance
-    alone = found.select("doc_id", F.explode("wh").alias("cluster"))
-    met = materialize(_several(alone, "cluster").select("_cluster"))
-    sweep(met.sparkSession)
-    windows = each("ws", "wh", "wc").select("doc_id", "row", F.col("x.ws").alias("start"), F.col("x.wh").alias("h"), F.col("x.wc").alias("c"))
-    windows = windows.join(met, F.col("h") == F.col("_cluster"), "left_semi")
-    windows = materialize(windows.select("doc_id", "row", "start", F.lit(PARAGRAPH).alias("n"), F.xxhash64("h", "c").alias("cluster")))
-    discard(met)
-    sweep(windows.sparkSession)
-    windows = windows.join(_several(windows, "cluster"), F.col("cluster") == F.col("_cluster")).select("doc_id", "row", "start", "n", "cluster", "first")
+    ends = materialize(_several(own, "cluster"))
+    own = materialize(own.join(ends, F.col("cluster") == F.col("_cluster")).select("doc_id", "row", "start", "n", "cluster", "first"))
+    places = materialize(found.select("doc_id", "row", "ws", "wh", "wc"))  # the shingle sets have done their work
+    discard(found, ends)
+    sweep(found.sparkSession)
+    # windows are one paragraph where both hashes, 96 bits, agree: of the 1e13 windows of 100 TB, 1e-3 pairs may by chance
+    windows = places.select("doc_id", "row", F.explode(F.arrays_zip("ws", "wh", "wc")).alias("x"))
+    windows = windows.select("doc_id", "row", F.col("x.ws").alias("start"), F.lit(PARAGRAPH).alias("n"), F.col("x.wh").alias("cluster"), F.col("x.wc").alias("check"))
+    ends = materialize(_several(windows.select("doc_id", "cluster", "check"), "cluster", "check"))
+    sweep(ends.sparkSession)
+    same = (F.col("cluster") == F.col("_cluster")) & (F.col("check") == F.col("_check"))
+    windows = windows.join(ends.hint("merge"), same).select("doc_id", "row", "start", "n", "cluster", "first")
     rows = windows.unionByName(own)
     passage = F.struct(F.col("start").alias("start_word"), F.col("n").alias("n_words"), "cluster", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("removed"))
     return rows.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(passage)).alias("passages"))
