@@ -313,3 +313,25 @@ def test_shared_tokens_and_snippets(spark):
 def test_top_patterns(spark):
     e = spark.createDataFrame([("a", "m")] * 3 + [("b", "n")], ["k", "m"])
     assert [tuple(r) for r in jobs.top_patterns(e, "k", "m", 1).collect()] == [("a: m", 3)]
+
+
+def test_pdf_maps_streams_and_bad_files(spark):
+    import zlib
+
+    from textlake.sources import pdf
+
+    cmap = b"1 beginbfchar <0001> <00D1> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
+    inner = b"5 0 "
+    body = b"<< /Type /Page /Parent 2 0 R /Contents [8 0 R 9 0 R] >>"
+    stream = zlib.compress(inner + body)
+    show = rb"BT /F1 10 Tf (Uno \(dos\) \101\n) Tj T* [(tr) -50 (es) -300 (cuatro)] TJ 0 -12 Td /F2 10 Tf <000100020004> Tj ET"
+    data = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in [
+        (2, b"<< /Type /Pages /Kids [5 0 R] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>"), (3, b"<< /Type /Font >>"), (4, b"<< /Type /Font /ToUnicode 7 0 R >>"),
+        (7, b"<< >>\nstream\n" + cmap + b"\nendstream"), (8, b"<< >>\nstream\n" + show + b"\nendstream"), (9, b"<< /Filter /FlateDecode >>\nstream\nbroken\nendstream"),
+        (10, b"<< /Type /ObjStm /N 1 /First %d /Filter /FlateDecode >>\nstream\n" % len(inner) + stream + b"\nendstream"),
+    ])
+    assert [x[2] for x in pdf.lines(data)] == ["Uno (dos) A", "tres cuatro", "Ñac"]
+    f = spark.createDataFrame([("a.pdf", bytearray(data)), ("b.pdf", bytearray(b"no pdf"))], "path string, content binary")
+    got = [(r.path, r.page, r.text) for r in files.pdf_files(f).orderBy("path", "page", "pos").collect()]
+    assert got[:3] == [("a.pdf", 1, "Uno (dos) A"), ("a.pdf", 1, "tres cuatro"), ("a.pdf", 1, "Ñac")] and got[3][:2] == ("b.pdf", 0) and "ValueError" in got[3][2]
+    assert files.reader_for("x/libro.PDF") is files.READERS["pdf"]

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.functions import vector as V
 from textlake.operators import authors, clean, jobs, profile, reader, rules, search, segment, settings
-from textlake.plans import restated
+from textlake.plans import made_files, restated
 from textlake.plans.registry import query
+from textlake.shipping import ship
 from textlake.sources import files, sinks
 from textlake.streaming import incremental
 
@@ -832,3 +834,53 @@ def error_log_entries(t):
     entry = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" "), "event_type", named, F.lit("\n  "), kind)
     logs = t("events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", entry.alias("e")))).alias("_e"))
     return jobs.log_entries(logs.select(F.concat(F.lit("no time stamp\n"), F.array_join("_e.e", "\n")).alias("log")), "log")
+
+
+_WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+_PDF_LINES = f"w AS (SELECT item_id, {_WORDS} AS w FROM benchmark), l AS (SELECT item_id, unnest(range(0, CAST(ceil(len(w) / 6.0) AS BIGINT))) AS i, w FROM w), p AS (SELECT item_id AS id, i // 3 + 1 AS page, i % 3 AS pos, array_to_string(w[i * 6 + 1 : i * 6 + 6], ' ') AS text FROM l)"
+
+
+def _made(t, make):
+    """(path, content) of files made from the benchmark's texts, lines of six words."""
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / 6).cast("int")), lambda i: F.array_join(F.slice("_w", i * 6 + 1, 6), " "))
+    rows = t("benchmark").withColumn("_w", F.filter(F.split("text", r"\s+"), lambda w: w != "")).where(F.size("_w") > 0).select(F.col("item_id").cast("string").alias("path"), lines.alias("lines"))
+
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame({"path": part["path"], "content": [make(str(p), list(x)) for p, x in zip(part["path"], part["lines"])]})
+
+    ship(rows.sparkSession)
+    return rows.mapInPandas(run, "path string, content binary")
+
+
+def _made_pdf(path, lines):
+    return made_files.pdf([lines[i : i + 3] for i in range(0, len(lines), 3)], f"Obra ({path})", "Ana Núñez")
+
+
+def _made_docx(path, lines):
+    return made_files.docx(f"Obra {path}", lines, "Ana Núñez")
+
+
+@query("SRC-17", f"WITH {_PDF_LINES} SELECT CAST(id AS VARCHAR) AS path, CAST(page AS INTEGER) AS page, CAST(pos AS INTEGER) AS pos, text, CASE WHEN pos = 0 THEN 18.0 ELSE 11.0 END::DOUBLE AS size FROM p")
+def pdf_lines(t):
+    return files.pdf_files(_made(t, _made_pdf))
+
+
+@query("SRC-25 SRC-35", f"WITH {_PDF_LINES}, a AS (SELECT id, page, pos, text, CASE WHEN pos = 0 THEN 18.0 ELSE 11.0 END AS size FROM p), b AS (SELECT *, avg(size) OVER (PARTITION BY id) AS av FROM a), g AS (SELECT id, page, string_agg(CASE WHEN size > av * 1.2 THEN '## ' ELSE '' END || text, chr(10) ORDER BY pos) AS text FROM b GROUP BY id, page) SELECT CAST(id AS VARCHAR) AS path, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM g GROUP BY id")
+def pdf_as_markdown(t):
+    return files.pdf_markdown(_made(t, _made_pdf))
+
+
+@query("SRC-35", f"WITH {_PDF_LINES} SELECT CAST(id AS VARCHAR) AS path, 'Obra (' || id || ')' AS title, 'Ana Núñez' AS author, '2024-01-02' AS date, CAST(max(page) AS INTEGER) AS n_pages FROM p GROUP BY id")
+def pdf_metadata(t):
+    return files.pdf_properties(_made(t, _made_pdf))
+
+
+@query("SRC-36 SRC-15", f"WITH {_PDF_LINES}, b AS (SELECT id, page * 3 + pos AS i, text, {restated.is_heading('text')} AS head, {restated.heading_level('text')} AS level FROM p) SELECT CAST(id AS VARCHAR) AS path, '## Obra ' || id || chr(10) || chr(10) || string_agg(CASE WHEN head THEN repeat('#', level) || ' ' ELSE '' END || text, chr(10) || chr(10) ORDER BY i) AS text FROM b GROUP BY id")
+def docx_as_markdown(t):
+    return files.docx_markdown(_made(t, _made_docx))
+
+
+@query("SRC-15", f"WITH {_PDF_LINES} SELECT DISTINCT CAST(id AS VARCHAR) AS path, 'Obra ' || id AS title, 'Ana Núñez' AS author FROM p")
+def docx_metadata(t):
+    return files.docx_properties(_made(t, _made_docx)).select("path", "title", "author")

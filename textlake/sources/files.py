@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from textlake.functions import text as T
 from textlake.operators import rules, segment
 from textlake.shipping import ship
+from textlake.sources import pdf
 
 
 def whole(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -162,6 +163,35 @@ def docx_properties(files: DataFrame) -> DataFrame:
     return _parsed_files(files, core_properties, ["path", *CORE], "path string, " + ", ".join(f"{c} string" for c in CORE), lambda e: (None,) * len(CORE))
 
 
+def docx_markdown(files: DataFrame) -> DataFrame:
+    """(path, text): DOCX files as Markdown, headings by their level, paragraphs apart by a blank line."""
+    p = docx_headings(docx_files(files))
+    line = F.when(F.col("is_heading"), F.concat(F.repeat(F.lit("#"), F.col("heading_level")), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    g = p.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("_l"))
+    return g.select("path", F.array_join("_l.line", "\n\n").alias("text"))
+
+
+def pdf_files(files: DataFrame) -> DataFrame:
+    """(path, page, pos, text, size): the lines of PDF files (path, content) with their font size; a file that can't
+    be read is one line of page 0. A file is read where it lies."""
+    return _parsed_files(files, pdf.lines, ["path", "page", "pos", "text", "size"], "path string, page int, pos int, text string, size double", lambda e: (0, 0, f"{type(e).__name__}: {e}", 0.0))
+
+
+def pdf_properties(files: DataFrame) -> DataFrame:
+    """(path, title, author, date, n_pages) of PDF files."""
+    return _parsed_files(files, pdf.properties, ["path", "title", "author", "date", "n_pages"], "path string, title string, author string, date string, n_pages int", lambda e: (None, None, None, 0))
+
+
+def pdf_markdown(files: DataFrame, larger: float = 1.2) -> DataFrame:
+    """(path, text): PDF files as Markdown: lines over ``larger`` times their file's average type are headings, pages
+    are apart by a blank line."""
+    p = pdf_files(files).withColumn("_avg", F.avg("size").over(Window.partitionBy("path")))
+    line = F.when(F.col("size") > F.col("_avg") * larger, F.concat(F.lit("## "), F.col("text"))).otherwise(F.col("text"))
+    pages = p.groupBy("path", "page").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("_l"))
+    g = pages.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page", F.array_join("_l.line", "\n").alias("t")))).alias("_p"))
+    return g.select("path", F.array_join("_p.t", "\n\n").alias("text"))
+
+
 def xlsx_files(files: DataFrame) -> DataFrame:
     """Blocks of XLSX files (path, content); a file or sheet that can't be read is one block of kind ``error``."""
     parse = lambda data: sheet_blocks(list(xlsx_rows(data)))
@@ -392,9 +422,10 @@ def docx_headings(paragraphs: DataFrame) -> DataFrame:
 
 
 # Which reader a file's suffix means
-SUFFIXES = {".txt": "text", ".md": "markdown", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson", ".csv": "csv", ".tsv": "csv", ".html": "html", ".htm": "html", ".docx": "docx", ".xlsx": "xlsx"}
+SUFFIXES = {".txt": "text", ".md": "markdown", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson", ".csv": "csv", ".tsv": "csv", ".html": "html", ".htm": "html", ".docx": "docx", ".xlsx": "xlsx", ".pdf": "pdf"}
 READERS: dict = {
     "csv": lambda s, p: csv_blocks(whole(s, p)), "docx": lambda s, p: docx_files(office(s, p, "*.docx")), "xlsx": lambda s, p: xlsx_files(office(s, p, "*.xlsx")),
+    "pdf": lambda s, p: pdf_files(office(s, p, "*.pdf")),
     "text": lambda s, p: text_blocks(whole(s, p)), "markdown": lambda s, p: markdown_blocks(whole(s, p)), "ndjson": ndjson, "json": lambda s, p: json_objects(whole(s, p)), "html": lambda s, p: whole(s, p).withColumn("text", html_text(F.col("text"))),
 }
 
