@@ -884,3 +884,19 @@ def docx_as_markdown(t):
 @query("SRC-15", f"WITH {_PDF_LINES} SELECT DISTINCT CAST(id AS VARCHAR) AS path, 'Obra ' || id AS title, 'Ana Núñez' AS author FROM p")
 def docx_metadata(t):
     return files.docx_properties(_made(t, _made_docx)).select("path", "title", "author")
+
+
+@query(
+    "AUT-32",
+    "WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Ana López Ruiz' ELSE 'Pedro Gómez' END AS name, (doc_id % 10 + 1) / 10.0::DOUBLE AS confidence FROM documents), p(k, person) AS (VALUES (0, 'ana lópez ruiz'), (0, 'otra persona'), (1, 'pedro antonio'), (2, 'ana maría del río'), (3, 'pedro gómez'), (4, 'luis'))"
+    " SELECT doc_id, name, coalesce(bool_or(person = lower(name)), false) OR coalesce(bool_or(h), false) AS ner_validated, round(any_value(CASE WHEN e THEN least(confidence * 1.2, 1.0) WHEN q THEN least(confidence * 1.1, 1.0) ELSE confidence * 0.95 END), 6)::DOUBLE AS confidence"
+    " FROM (SELECT *, coalesce(bool_or(person = lower(name)) OVER (PARTITION BY doc_id), false) AS e, coalesce(bool_or(h) OVER (PARTITION BY doc_id), false) AS q FROM (SELECT c.*, person, len(list_intersect(string_split(lower(name), ' '), string_split(person, ' '))) AS n,"
+    " len(list_intersect(string_split(lower(name), ' '), string_split(person, ' '))) >= greatest(1, len(string_split(person, ' ')) * 0.5) AS h FROM c LEFT JOIN p ON p.k = doc_id % 6)) GROUP BY doc_id, name",
+)
+def author_person_validated(t):
+    d = t("documents")
+    c = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "Ana López Ruiz").otherwise("Pedro Gómez").alias("name"), ((F.col("doc_id") % 10 + 1) / 10).alias("confidence"))
+    known = {0: ["Ana López Ruiz", "Otra Persona"], 1: ["Pedro Antonio"], 2: ["Ana María del Río"], 3: [" pedro GÓMEZ"], 4: ["Luis"]}
+    per = F.coalesce(*[F.when(F.col("doc_id") % 6 == k, F.array(*[F.lit(x) for x in xs])) for k, xs in known.items()])
+    persons = d.select("doc_id", F.explode(per).alias("person"))
+    return authors.person_validated(c, "doc_id", "name", "confidence", persons, "person").select("doc_id", "name", "ner_validated", F.round("confidence", 6).alias("confidence"))
