@@ -554,6 +554,16 @@ def test_two_licenses_in_one_text(spark):
     assert got == {0: both, 1: both, 2: both | {("proprietary", 1), ("MIT", 1)}}
 
 
+def test_full_license_texts(spark):
+    rng = random.Random(3)
+    texts = [f"{words(rng, 40)}\n{t}\n{words(rng, 40)}" for t in license_scan.TEMPLATES.values()]
+    found = {}
+    for r in license_scan.scan(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect():
+        found.setdefault(r.doc_id, []).append((r.license, r.coverage))
+    # the short notice inside a longer one gives way to it, each text is known by its own name
+    assert found == {i: [(name, 1.0)] for i, name in enumerate(license_scan.TEMPLATES)}
+
+
 def test_licenses_whole_table(spark):
     found = {(r.doc_id, r.license) for r in license_scan.scan(documents(spark)).collect()}
     for d in documents(spark).collect():
