@@ -762,10 +762,12 @@ def test_line_links_against_all_pairs(spark, monkeypatch):
         assert {h: star.get(h, h) for h in sets} == want
 
 
-def test_huge_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_huge_buckets(spark, monkeypatch, few):
     """A family around a pivot and lines far from it, some of which link to each other or to the family."""
     rng = random.Random(19)
     monkeypatch.setattr(passage_dedup, "TOGETHER", 4)
+    monkeypatch.setattr(passage_dedup, "FEW", few)
     base = [rng.randrange(1 << 39) for _ in range(100)]
     change = lambda s, n: sorted({*s[n:], *[rng.randrange(1 << 39) for _ in range(n)]})
     family = [change(base, rng.randrange(1, 9)) for _ in range(20)] + [change(base, 14) for _ in range(6)]

@@ -36,8 +36,9 @@ BANDS, ROWS = 7, 3
 #: Lines, and shingles of lines, of a bucket that are compared as one group; larger buckets are divided, none is cut.
 TOGETHER = 256
 SHINGLES_TOGETHER = 1 << 20
-#: Lines that each line of a larger bucket is held against, and how many lines far from them meet all others at once.
-PIVOTS, FEW = 6, 64
+#: Lines that each line of a larger bucket is held against, and how many pairs of lines far from them with any lines of
+#: their bucket are compared without dividing it.
+PIVOTS, FEW = 6, 4_000_000
 #: Bytes of a shingle's hash in a set: two lines of a and b shingles have a * b / 2**40 in common by chance.
 BYTES = 5
 
@@ -192,9 +193,9 @@ def _fits() -> Column:
     return (F.col("c") <= TOGETHER) & ((F.col("t") <= SHINGLES_TOGETHER) | (F.col("c") == 2))
 
 
-def _beside_pivots(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _beside_pivots(large: DataFrame, sets: DataFrame, similarity: float, fitness: Column) -> DataFrame:
     """(key, h, s, m, mask, pivots) of buckets (key, h, m) of any size: each line is held against PIVOTS lines of its
-    bucket, and has a bit in ``mask`` for each that it is similar to. ``sets``: (_h, s)."""
+    bucket, of those of the least ``fitness``, and has a bit in ``mask`` for each that it is similar to. ``sets``: (_h, s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, known = None, []
@@ -207,7 +208,7 @@ def _beside_pivots(large: DataFrame, sets: DataFrame, similarity: float) -> Data
                 masks.append(sum(1 << i for i, p in enumerate(known) if _similar(own, p, similarity)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(masks, pa.int32()), batch.column(4)], ["key", "h", "s", "m", "mask", "pivots"])
 
-    least = [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), F.col("h").alias("h")))["h"].alias(f"p{i}") for i in range(PIVOTS)]
+    least = [F.min(F.struct(fitness.alias("f"), F.xxhash64("h", F.lit(i)).alias("o"), F.col("h").alias("h")))["h"].alias(f"p{i}") for i in range(PIVOTS)]
     pivots = large.groupBy("key").agg(*least).select(F.col("key").alias("_key"), F.posexplode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("i", "p"))
     packs = pivots.join(sets, F.col("p") == F.col("_h")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("i", "p", "s"))).alias("x"))
     packs = packs.select("_key", F.col("x.p").alias("pivots"), F.col("x.s").alias("ps"))
@@ -216,6 +217,15 @@ def _beside_pivots(large: DataFrame, sets: DataFrame, similarity: float) -> Data
     return beside.mapInArrow(run, "key long, h long, s binary, m int, mask int, pivots array<long>")
 
 
+def _pivot_links(held: DataFrame) -> DataFrame:
+    """(a, b): a link from each line to one pivot that it is similar to, and among pivots that share a line."""
+    first = lambda mask: F.log2(mask.bitwiseAND(-mask)).cast("int")
+    own = held.where("mask <> 0").select(F.element_at("pivots", first(F.col("mask")) + 1).alias("a"), F.col("h").alias("b"))
+    joint = held.select("key", "mask", "pivots").dropDuplicates(["key", "mask"]).where("mask <> 0")
+    joint = joint.select(F.element_at("pivots", first(F.col("mask")) + 1).alias("a"), F.explode(F.filter("pivots", lambda p, i: F.getbit("mask", i) == 1)).alias("b"))
+    return own.unionByName(joint).where("a <> b")
+
+
 def _open_buckets(held: DataFrame) -> DataFrame:
     """(_key, class, far, c, t) of the buckets of ``held`` that their pivots don't join whole: the pivots of the largest
     joint class, as bits, and the lines that are similar to none of them. A bucket has 2 ** PIVOTS masks at most."""
@@ -268,10 +278,11 @@ def line_links(lines: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
     ``similarity``. ``lines``: (h, n: words, k: band keys); ``sets``: (h, s: packed shingle set), copies don't matter.
 
     A band's bucket of bounded lines and shingles is compared whole. In a larger one every line is held against
-    PIVOTS lines first. Those similar to one of the joint pivots are joined; what is far from all meets every other
-    line, block by block where it is FEW lines, else in buckets of twenty more keys, of which two similar lines
-    share one but for a chance below 1e-6, and by blocks where these are still too large. Nothing is left out, no
-    group is unbounded, and a family of near copies costs as much as it has lines.
+    PIVOTS lines, and then against PIVOTS that are similar to most of these. Lines similar to one of the joint
+    pivots are joined; what is far from all meets every other line, block by block where that is FEW pairs, else in
+    buckets of twenty more keys, of which two similar lines share one but for a chance below 1e-6, and by blocks
+    where these are still too large. Nothing is left out, no group is unbounded, and a family of near copies costs
+    as much as it has lines.
     """
     keyed = lines.select("h", F.col("n").alias("m"), F.explode("k").alias("key"), F.lit(False).alias("near"))
     # what the links need grows with the lines: joined by one plan at every size, not broadcast where it is still small
@@ -288,17 +299,19 @@ def line_links(lines: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
     out = _verify(full(members.where(_fits())), similarity)
     large = members.where(~_fits()).select("key", "h", "m")
     if large.limit(1).count():
-        held = materialize(_beside_pivots(large, sets, similarity))
-        written.append(held)
-        each = held.select("h", F.explode(F.filter("pivots", lambda p, i: F.getbit("mask", i) == 1)).alias("a"))
-        out = out.unionByName(each.where("a <> h").select("a", F.col("h").alias("b")))
+        any_ = materialize(_beside_pivots(large, sets, similarity, F.lit(0)).drop("s"))
+        # second pivots from the middle of the bucket: lines that are similar to most of the first ones
+        middle = any_.select("key", "h", "m", (-F.bit_count("mask")).alias("edge"))
+        held = materialize(_beside_pivots(middle, sets, similarity, F.col("edge")))
+        out = out.unionByName(_pivot_links(any_)).unionByName(_pivot_links(held))
         open_ = materialize(_open_buckets(held))
-        written.append(open_)
+        written += [any_, held, open_]
         rest = held.join(open_, F.col("key") == F.col("_key")).withColumn("near", F.col("mask").bitwiseAND(F.col("class")) != 0)
-        if open_.where(F.col("far") <= FEW).limit(1).count():
-            out = out.unionByName(_verify(_blocks(rest.where(F.col("far") <= FEW)), similarity))
-        if open_.where(F.col("far") > FEW).limit(1).count():
-            parts = materialize(_counted(_divided(rest.where(F.col("far") > FEW))))
+        few = F.col("far") * F.col("c") <= FEW
+        if open_.where(few).limit(1).count():
+            out = out.unionByName(_verify(_blocks(rest.where(few)), similarity))
+        if open_.where(~few).limit(1).count():
+            parts = materialize(_counted(_divided(rest.where(~few))))
             written.append(parts)
             out = out.unionByName(_verify(full(parts.where(_fits())), similarity))
             huge = parts.where(~_fits())
