@@ -21,7 +21,7 @@ def _beside_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     Nodes with over total / HUBS edges are HUBS at most, whatever the table: they are joined where their edges
     lie. All others have too few edges to crowd a task of the shuffled join.
     """
-    most = max(1000, 2 * total // HUBS)
+    most = max(8, 2 * total // HUBS)
     hubs = F.broadcast(least.where(F.col("c") > most).select("_u", "m"))
     others = least.where(F.col("c") <= most).select("_u", "m")
     same = F.col("u") == F.col("_u")
