@@ -372,3 +372,8 @@ def test_stored_tables_are_those_of_the_folder(spark, tmp_path):
     d.write.partitionBy("day", "hour").parquet(str(tmp_path / "days.parquet"))
     (tmp_path / "notes.txt").write_text("x")
     assert sorted(tuple(r) for r in driver.queries()["stored_tables"](spark, str(tmp_path)).collect()) == [("days", 1), ("flat", 2)]
+
+
+def test_json_keeps_very_long_texts(spark, tmp_path):
+    path = documents(spark, tmp_path, [(1, "wort " * 4_200_000 + "x", "s")])
+    assert [tuple(r) for r in driver.queries()["json_extract"](spark, path).selectExpr("doc_id", "length(text)").collect()] == [(1, 21_000_001)]

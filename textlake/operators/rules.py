@@ -30,9 +30,15 @@ def at(doc: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(doc, "$." + path, kind)
 
 
+# Strings over this many characters are not JSON to try_parse_json; options to read them by its grammar
+LONGEST = 20_000_000
+LENIENT_IN_LENGTH = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parsed(c: Column) -> Column:
     """A VARIANT from JSON text whose control characters became blanks; null where it is not JSON."""
-    return F.try_parse_json(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "))
+    clean = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    return F.when(F.octet_length(c) > LONGEST, F.from_json(clean, "variant", LENIENT_IN_LENGTH)).otherwise(F.try_parse_json(clean))
 
 
 def passes(doc: Column, rule: Rule) -> Column:
